@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import spans
+from . import spans, split, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +36,92 @@ def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
     out = spans.shared_spans(_span_records(spark, sf))
     covered = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select(*spans.rec_columns(), covered.alias("covered_chars"), F.size("starts").alias("n_spans"), "starts", "lengths")
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that only one record holds, or more than 2 % of all."""
+    recs = terms.records(table(spark, sf, "patterns"))
+    return terms.marked(terms.term_frequencies(recs), recs).where("mark is not null").select("term", "mark")
+
+
+_RECORDS_SQL = """
+    select pattern_no as rec, min_by(original, original) as text,
+           coalesce(min_by(kind, (original, kind is not null, kind, frequency is not null, frequency)), 'unknown') as kind,
+           min_by(frequency, (original, kind is not null, kind, frequency is not null, frequency)) as recorded
+    from (select pattern_no, original, frequency, nullif(regexp_replace(lower(trim(pattern_type)), '[\\s\\-]+', '_', 'g'), '') as kind
+          from patterns where pattern_no is not null and original is not null)
+    group by pattern_no"""
+
+ORACLES["p3_found"] = """
+with recs as (select pattern_no as rec, min(original) as text from patterns where original is not null and pattern_no is not null group by 1),
+terms as (select distinct rec, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) as term from recs),
+freq as (select term, count(*) as n from terms group by 1)
+select term, case when n = 1 then 'rare' else 'common' end as mark
+from freq where n = 1 or n > 0.02 * (select count(*) from recs)"""
+
+
+@query
+def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences and records of every term, overall (kind 'all') and by pattern type, marked within each."""
+    recs = terms.records(table(spark, sf, "patterns"))
+    overall = recs.withColumn("kind", F.lit("all"))
+    both = recs.unionByName(overall)
+    return terms.marked(terms.term_frequencies(both, per_kind=True), both, keys=("kind",)).select("kind", "term", "occurrences", "records", "mark")
+
+
+ORACLES["p3_terms"] = f"""
+with recs as ({_RECORDS_SQL}),
+typed as (select rec, kind, text from recs union all select rec, 'all', text from recs),
+terms as (select kind, rec, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) as term from typed),
+freq as (select kind, term, count(*) as occurrences, count(distinct rec) as records from terms group by 1, 2),
+total as (select kind, count(*) as n from typed group by 1)
+select kind, term, occurrences, records,
+       case when records = 1 then 'rare' when records > 0.02 * n then 'common' end as mark
+from freq join total using (kind)"""
+
+
+@query
+def p3_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of every distinct text by type, next to the frequencies they claim."""
+    return terms.value_frequencies(terms.records(table(spark, sf, "patterns"))).select("kind", "value", "occurrences", "records", "recorded_least", "recorded_most")
+
+
+ORACLES["p3_values"] = f"""
+with recs as ({_RECORDS_SQL})
+select kind, text as value, count(*) as occurrences, count(distinct rec) as records,
+       min(recorded) as recorded_least, max(recorded) as recorded_most
+from recs group by 1, 2"""
+
+
+def _limit(spark: SparkSession, sf: str, name: str):
+    """A row of size_limits, a table of a handful of settings."""
+    return table(spark, sf, "size_limits").where(F.col("limit_name") == name).orderBy("capacity").first()
+
+
+def _split_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    limit = _limit(spark, sf, "split_chunk")
+    items = table(spark, sf, "chunks").select(F.col("chunk_no").alias("rec"), F.col("source").alias("text"))
+    return split.split_oversized(items, limit.capacity, limit.overlap, limit.unit)
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of more than 300 words, and whether a single line of them is over the limit."""
+    capacity = _limit(spark, sf, "split_chunk").capacity
+    cut = F.when(F.col("widest_line") > capacity, "inside_line").otherwise("at_line")
+    return _split_chunks(spark, sf).where("piece_no = 0").select(F.col("rec").alias("chunk_no"), cut.alias("cut"))
+
+
+ORACLES["p7_found"] = r"""
+with big as (select chunk_no, max(source) as source from chunks
+             where len(regexp_extract_all(source, '\S+')) > 300 group by 1)
+select chunk_no, case when list_max(list_transform(string_split(source, chr(10)), lambda x: len(regexp_extract_all(x, '\S+')))) > 300
+                      then 'inside_line' else 'at_line' end as cut
+from big"""
+
+
+@query
+def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The overlapping pieces of every chunk over the limit."""
+    return _split_chunks(spark, sf).withColumnRenamed("rec", "chunk_no").drop("widest_line")
