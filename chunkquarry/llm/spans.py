@@ -123,6 +123,17 @@ def _from_planes(data: bytes, width: int) -> np.ndarray:
     return out
 
 
+def _seven(values: np.ndarray) -> bytes:
+    """The low seven bytes of each value; with the bucket they tell more than 60 bits of a hash apart."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _from_seven(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), dtype=np.uint8)
+    out[:, :7] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).ravel()
+
+
 def _runs(ordered: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins, with the end as last item."""
     if not len(ordered):
@@ -285,8 +296,11 @@ def _window_blobs(period: int, cover: np.ndarray, width: int, min_len: int, buck
                     r, i = (row[i], i) if positions else (np.unique(row[i]), i)
                     out.append((bucket, batch, kind, r.astype(np.uint16).tobytes(), b"", extra))
                 else:
-                    here, local = np.unique(row[i], return_inverse=True)
-                    out.append((bucket, batch, kind, len(here).to_bytes(4, "little") + here.astype(np.uint16).tobytes() + local.astype(np.uint16).tobytes() + grps[here].tobytes(), _planes(h[i], 8), extra))
+                    i = i[np.lexsort((at[i], row[i]))]
+                    here, counts = np.unique(row[i], return_counts=True)
+                    owners = len(here).to_bytes(4, "little") + here.astype(np.uint16).tobytes() + counts.astype(np.uint32).tobytes() + grps[here].tobytes()
+                    extra = at[i].astype(np.uint32).tobytes() if positions else b""
+                    out.append((bucket, batch, kind, owners, _seven(h[i]), extra))
 
             if len(h):
                 g = grps[row]
@@ -316,14 +330,13 @@ def _window_replies(positions: bool):
         if entries:
             h, row, grp, at, batch, names = [], [], [], [], [], []
             for i in entries:
-                raw, hashes = table.column("rows")[i].as_py(), _from_planes(table.column("hashes")[i].as_py(), 8)
-                m, n = int.from_bytes(raw[:4], "little"), len(hashes)
-                here = np.frombuffer(raw, np.uint16, m, 4)
-                local = np.frombuffer(raw, np.uint16, n, 4 + 2 * m)
-                h.append(hashes)
-                row.append(here[local])
-                grp.append(np.frombuffer(raw[4 + 2 * m + 2 * n :], np.int64)[local])
-                batch.append(np.full(n, len(names)))
+                raw = table.column("rows")[i].as_py()
+                m = int.from_bytes(raw[:4], "little")
+                counts = np.frombuffer(raw, np.uint32, m, 4 + 2 * m)
+                h.append(_from_seven(table.column("hashes")[i].as_py()))
+                row.append(np.repeat(np.frombuffer(raw, np.uint16, m, 4), counts))
+                grp.append(np.repeat(np.frombuffer(raw[4 + 6 * m :], np.int64), counts))
+                batch.append(np.full(len(h[-1]), len(names)))
                 names.append(table.column("batch")[i].as_py())
                 if positions:
                     at.append(np.frombuffer(table.column("extra")[i].as_py(), np.uint32))
