@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import spans, split, terms
+from . import spans, split, syntax, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,3 +125,15 @@ from big"""
 def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """The overlapping pieces of every chunk over the limit."""
     return _split_chunks(spark, sf).withColumnRenamed("rec", "chunk_no").drop("widest_line")
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that do not parse in the language of their extension."""
+    return syntax.invalid_files(table(spark, sf, "source_files"))
+
+
+@query
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Invalid files per repository and language."""
+    return syntax.error_rates(table(spark, sf, "source_files"))
