@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import spans, split, syntax, terms
+from . import docs, spans, split, syntax, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,3 +137,19 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Invalid files per repository and language."""
     return syntax.error_rates(table(spark, sf, "source_files"))
+
+
+def _doc_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [table(spark, sf, t) for t in ("chunks", "source_files", "fn_meta")]
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions and methods with documentation that says something."""
+    return docs.documented_functions(*_doc_tables(spark, sf)).select("chunk_no")
+
+
+@query
+def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Code and its documentation."""
+    return docs.pairs(*_doc_tables(spark, sf))
