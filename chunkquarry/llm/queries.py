@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import docs, spans, split, syntax, terms
+from . import docs, replies, spans, split, syntax, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,3 +153,18 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Code and its documentation."""
     return docs.pairs(*_doc_tables(spark, sf))
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Defective answers with their defect."""
+    return replies.defects(table(spark, sf, "response_pairs"), replies.fit(table(spark, sf, "documents")))
+
+
+@query
+def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of each side and how many have which defect."""
+    pairs = table(spark, sf, "response_pairs")
+    answered = pairs.where("task_id is not null").groupBy("task_id").agg(*(F.max(F.col(f"response_{s}").isNotNull()).alias(s) for s in ("full", "bridge")))
+    asked = answered.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).cast("long").alias("answers")) for s in ("full", "bridge")])).alias("a")).groupBy("a.side").agg(F.sum("a.answers").alias("answers"))
+    return p2_found(spark, sf).groupBy("side", "defect").agg(F.count("*").alias("n")).join(asked, "side").select("side", "defect", "n", (F.col("n") / F.col("answers")).alias("share"))
