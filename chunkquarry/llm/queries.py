@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import docs, replies, spans, split, syntax, terms
+from . import docs, pii, replies, spans, split, syntax, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +168,16 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     answered = pairs.where("task_id is not null").groupBy("task_id").agg(*(F.max(F.col(f"response_{s}").isNotNull()).alias(s) for s in ("full", "bridge")))
     asked = answered.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).cast("long").alias("answers")) for s in ("full", "bridge")])).alias("a")).groupBy("a.side").agg(F.sum("a.answers").alias("answers"))
     return p2_found(spark, sf).groupBy("side", "defect").agg(F.count("*").alias("n")).join(asked, "side").select("side", "defect", "n", (F.col("n") / F.col("answers")).alias("share"))
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct mention of personal information in a document."""
+    found = pii.mentions(table(spark, sf, "documents"), table(spark, sf, "given_names"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.kind", "s.mention").distinct()
+
+
+@query
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with placeholders for personal information."""
+    return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "given_names"))
