@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
-from . import docs, pii, replies, spans, split, syntax, terms
+from ..sources.tables import language_of, repo_of, table
+from . import docs, pii, replies, spans, split, syntax, terms, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,3 +181,31 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """The documents with placeholders for personal information."""
     return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "given_names"))
+
+
+def _chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """repo, language, n_tokens of every chunk; methods that their Python class row holds already are left out."""
+    chunks = table(spark, sf, "chunks").where("chunk_no is not null and source is not null")
+    language = F.coalesce(language_of(F.col("file_path")), tokens.plain_language(F.col("language")))
+    items = chunks.select("chunk_no", repo_of(F.col("file_path")).alias("source"), language.alias("language"), "parent_name", F.col("source").alias("text"))
+    counted = tokens.token_counts(items).dropDuplicates(["chunk_no"])
+    return counted.where("language is distinct from 'python' or parent_name is null")
+
+
+def _document_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "documents").select("doc_id", "source", tokens.plain_language(F.col("lang")).alias("language"), "domain", "text")
+    return tokens.token_counts(items)
+
+
+@query
+def p4_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every slice: chunks by repository and language, documents by source, language and domain."""
+    code = tokens.cube(_chunk_tokens(spark, sf), ["source", "language"]).select(F.lit("chunks").alias("origin"), "source", "language", F.lit(None).cast("string").alias("domain"), "level", "items", "tokens")
+    text = tokens.cube(_document_tokens(spark, sf), ["source", "language", "domain"]).select(F.lit("documents").alias("origin"), "source", "language", "domain", "level", "items", "tokens")
+    return code.unionByName(text)
+
+
+@query
+def p4_document_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each document."""
+    return _document_tokens(spark, sf).select("doc_id", "n_tokens")
