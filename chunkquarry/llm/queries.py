@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import language_of, repo_of, table
-from . import docs, pii, replies, spans, split, syntax, terms, tokens
+from ..sources.tables import checkpointed, language_of, repo_of, table
+from . import docs, mix, pack, pii, replies, spans, split, syntax, terms, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -209,3 +210,40 @@ def p4_budget(spark: SparkSession, sf: str) -> DataFrame:
 def p4_document_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of each document."""
     return _document_tokens(spark, sf).select("doc_id", "n_tokens")
+
+
+@query
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every document, or piece of one over the capacity, for each token capacity."""
+    texts = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    items = checkpointed(tokens.token_counts(texts).select(F.col("doc_id").alias("id"), F.col("n_tokens").alias("size")))
+    limits = table(spark, sf, "size_limits").where("unit = 'token'").orderBy("capacity", "limit_name").collect()  # a handful of settings
+    packed = [pack.pack(items, r.capacity).select(F.lit(r.limit_name).alias("limit_name"), "container", F.col("id").alias("doc_id"), "piece", "start", "size") for r in limits]
+    return functools.reduce(DataFrame.unionByName, packed)
+
+
+@query
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers of each capacity and how full they are."""
+    limits = table(spark, sf, "size_limits").select("limit_name", "capacity")
+    per = p8_containers(spark, sf).groupBy("limit_name", "container").agg(F.sum("size").alias("tokens"))
+    whole = per.groupBy("limit_name").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return whole.join(limits, "limit_name").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity")))
+
+
+def _sized_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return checkpointed(_document_tokens(spark, sf).select("doc_id", "source", "n_tokens"))
+
+
+@query
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """One mixture of the ten sources at their target shares, in the order of slot and seq."""
+    return mix.mixture(_sized_documents(spark, sf), table(spark, sf, "mix_targets"))
+
+
+@query
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual shares, at the largest total with exact shares and at the size of all sources together."""
+    docs_, targets = _sized_documents(spark, sf), table(spark, sf, "mix_targets")
+    both = [mix.shares(mix.mixture(docs_, targets, total=t), targets).withColumn("total", F.lit(t)) for t in ("feasible", "available")]
+    return both[0].unionByName(both[1])
