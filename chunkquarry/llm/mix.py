@@ -113,7 +113,7 @@ def mixture(documents: DataFrame, targets: DataFrame, block: int = 2048, slots:
     placed = keyed.withColumn("inner_start", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(starts, ["source", "bucket"])
     placed = placed.withColumn("begin", F.col("bucket_start") + F.col("inner_start"))
     passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("quota") / F.col("size")) - 1, F.lit(0)).cast("int"))
-    used = placed.withColumn("pass", F.explode(passes)).withColumn("seq", F.col("pass") * F.col("size") + F.col("begin")).where("seq < quota")
+    used = placed.withColumn("pass", F.explode(passes)).withColumn("seq", F.col("pass") * F.col("size") + F.col("begin")).where("seq + n_tokens / 2 < quota")
     used = used.withColumn("block", F.expr(f"seq div {block}")).withColumn("k", F.expr("block % per_period"))
     slot = F.expr(f"(block div per_period) * {period}") + F.col("offset")
     return used.join(F.broadcast(places), ["source", "k"]).select(slot.alias("slot"), "seq", "source", "pass", "doc_id", "n_tokens")
