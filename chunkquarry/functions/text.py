@@ -112,7 +112,7 @@ def compress_text(text: Column) -> Column:
     words = matches(text, r"\S+")
     bare = lambda w: F.lower(F.regexp_replace(w, "^[^a-zA-Z]+|[^a-zA-Z]+$", ""))
     kept = F.filter(words, lambda w: ~bare(w).isin(*lexicon.STOP_WORDS))
-    return F.array_join(F.transform(kept, prune_vowels), " ")
+    return F.array_join(F.transform(kept, lambda w: prune_vowels(w)), " ")
 
 
 def compress_comment(line: Column) -> Column:

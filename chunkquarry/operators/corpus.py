@@ -62,7 +62,7 @@ def mined_tokens(mined: DataFrame) -> DataFrame:
 
 def hash_cache(patterns: DataFrame) -> DataFrame:
     """hash, compressed: the newest form of each pattern; the hash is that of the text without trailing blanks."""
-    rows = patterns.where("original is not null").select(F.sha2(F.rtrim("original"), 256).alias("hash"), "compressed", "mined_at", "pattern_no")
+    rows = patterns.where("original is not null and compressed is not null").select(F.sha2(F.rtrim("original"), 256).alias("hash"), "compressed", "mined_at", "pattern_no")
     return rows.groupBy("hash").agg(F.max_by("compressed", F.struct("mined_at", "pattern_no", "compressed")).alias("compressed"))
 
 

@@ -73,12 +73,16 @@ def latest(decisions: DataFrame) -> DataFrame:
     return newest.select("agent_id", "decision_type", "m.decision_value", "m.seq")
 
 
-def slice_depth(decisions: DataFrame, most: int = 16) -> DataFrame:
-    """slice_id, depth: how many parents a message slice has within the table, followed level by level up to ``most``."""
+def slice_depth(decisions: DataFrame, rounds: int = 6) -> DataFrame:
+    """slice_id, depth: how many ancestors a message slice has within the table.
+
+    Ancestors are followed by pointer doubling: each round joins the table of pointers with itself and doubles the
+    distance they span, so ``rounds`` rounds reach 2**rounds levels.
+    """
     rows = decisions.where("slice_id is not null").groupBy("slice_id").agg(F.max("parent_slice_id").alias("parent"))
-    level = rows.select("slice_id", F.col("parent").alias("at"), F.lit(0).alias("depth"))
-    parents = rows.select(F.col("slice_id").alias("at"), F.col("parent").alias("up"), F.lit(1).alias("is_row"))
-    for _ in range(most):
-        stepped = level.join(parents, "at", "left")
-        level = stepped.select("slice_id", F.when(F.col("is_row") == 1, F.col("up")).alias("at"), (F.col("depth") + F.coalesce("is_row", F.lit(0))).alias("depth"))
+    known = rows.select(F.col("slice_id").alias("parent"), F.lit(1).alias("steps"))
+    level = rows.join(known, "parent", "left").select("slice_id", F.when(F.col("steps") == 1, F.col("parent")).alias("up"), F.coalesce("steps", F.lit(0)).alias("depth"))
+    for _ in range(rounds):
+        above = level.select(F.col("slice_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
+        level = level.join(above, "up", "left").select("slice_id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
     return level.select("slice_id", "depth")

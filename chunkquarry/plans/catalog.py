@@ -230,7 +230,7 @@ def mined_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.mined_tokens(corpus.mine_patterns(_files(spark, sf)))
 
 
-_CACHE = "cache as (select sha256(rtrim(original)) as hash, max_by(compressed, (mined_at, pattern_no, compressed)) as compressed from patterns where original is not null group by 1)"
+_CACHE = "cache as (select sha256(rtrim(original)) as hash, max_by(compressed, (mined_at, pattern_no, compressed)) as compressed from patterns where original is not null and compressed is not null group by 1)"
 _HASHED = f"{_FILES}, {_LINE}, h as (select path, line_no, sha256(rtrim(line)) as hash from line where regexp_matches(line, '\\S'))"
 
 
@@ -277,8 +277,8 @@ def mask_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 # ---- calls
 
 _BUILTINS = ", ".join(f"'{x}'" for x in lexicon.CALL_BUILTINS)
-_CALLS = r"""call as (select chunk_no, name, unnest(l) as callee, generate_subscripts(l, 1) as at from (select chunk_no, name, regexp_extract_all(source, '\b([A-Za-z_]\w+)\s*\(', 1) as l from chunk)),
-first as (select chunk_no, name, callee, row_number() over (partition by chunk_no order by min(at)) - 1 as place from call where length(callee) >= 2 group by 1, 2, 3)"""
+_CALLS = r"""call as (select chunk_no, name, unnest(l) as callee, generate_subscripts(l, 1) as i from (select chunk_no, name, regexp_extract_all(source, '\b([A-Za-z_]\w+)\s*\(', 1) as l from chunk)),
+first as (select chunk_no, name, callee, row_number() over (partition by chunk_no order by min(i)) - 1 as place from call where length(callee) >= 2 group by 1, 2, 3)"""
 
 
 @query(f"with {_CHUNKS}, {_CALLS} select chunk_no, place::int as place, callee from first where place < 30 and callee not in ({_BUILTINS}) and lower(callee) <> lower(coalesce(name, ''))")
@@ -551,7 +551,7 @@ def latest_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 with recursive r as (select slice_id, max(parent_slice_id) as parent from decisions where slice_id is not null group by 1),
-w as (select slice_id, parent as at, 1 as depth from r union all select w.slice_id, r.parent, w.depth + 1 from w join r on w.at = r.slice_id where w.depth < 16)
+w as (select slice_id, parent as up, 0 as depth from r union all select w.slice_id, r.parent, w.depth + 1 from w join r on w.up = r.slice_id where w.depth < 64)
 select slice_id, max(depth)::int as depth from w group by 1""")
 def slice_depth(spark: SparkSession, sf: str) -> DataFrame:
     """How deep each message slice lies below its first ancestor."""
