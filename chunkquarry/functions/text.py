@@ -67,7 +67,7 @@ def predictability(f: Column, beyond: Column, cap: float, penalty: float = 0.06,
     """How predictable code is, 0 to 1, from its line features."""
     n, k, s = f["n"], f["k"], f["s"]
     plain = k == 0
-    bonus = F.when(plain & (s >= simple_share * n), boilerplate).otherwise(0.0) + F.when(plain & (n > 20), loop_free).otherwise(0.0)
+    bonus = F.when(plain & (n > 0) & (s >= simple_share * n), boilerplate).otherwise(0.0) + F.when(plain & (n > 20), loop_free).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _ladder(n, beyond) - F.least(F.lit(cap), penalty * k) + bonus))
 
 

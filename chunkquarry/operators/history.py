@@ -58,7 +58,7 @@ def audit_summary(decisions: DataFrame) -> DataFrame:
     d = distinct_decisions(decisions).select(F.coalesce("agent_id", F.lit("(none)")).alias("agent"), F.coalesce("decision_type", F.lit("(none)")).alias("kind"), "confidence")
     agent, kind = F.col("agent"), F.col("kind")
     sets = d.groupingSets([[agent], [kind], []], agent, kind)
-    return sets.agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.grouping_id().alias("level"))
+    return sets.agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("confidence"), F.grouping_id().alias("level"))
 
 
 def tail(decisions: DataFrame, n: int = 20) -> DataFrame:

@@ -71,7 +71,7 @@ def _pi(language: str) -> str:
     """SQL of predictability from n, k, s."""
     beyond, cap = ("0.60", "0.30") if language == "c" else ("greatest(0.0, 0.70 - (n - 35) * 0.02)", "0.35")
     ladder = f"case when n <= 2 then 0.95 when n <= 5 then 0.90 when n <= 10 then 0.85 when n <= 20 then 0.80 when n <= 35 then 0.70 else {beyond} end"
-    bonus = "case when k = 0 and s >= 0.5 * n then 0.15 else 0.0 end + case when k = 0 and n > 20 then 0.10 else 0.0 end"
+    bonus = "case when k = 0 and n > 0 and s >= 0.5 * n then 0.15 else 0.0 end + case when k = 0 and n > 20 then 0.10 else 0.0 end"
     return f"greatest(0.0::double, least(1.0::double, ({ladder})::double - least({cap}::double, 0.06::double * k) + ({bonus})::double))"
 
 
@@ -529,7 +529,7 @@ _DECISIONS = "d as (select distinct on (seq) * from decisions where seq is not n
 
 @query(f"""
 with {_DECISIONS}, x as (select coalesce(agent_id, '(none)') as agent, coalesce(decision_type, '(none)') as kind, confidence from d)
-select agent, kind, count(*) as n, round(avg(confidence), 6) as confidence, grouping_id(agent, kind)::bigint as level from x group by grouping sets ((agent), (kind), ())""")
+select agent, kind, count(*) as n, round(avg(confidence), 9) as confidence, grouping_id(agent, kind)::bigint as level from x group by grouping sets ((agent), (kind), ())""")
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions by agent, by type, and in all."""
     return history.audit_summary(table(spark, sf, "decisions"))

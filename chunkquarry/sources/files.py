@@ -15,7 +15,7 @@ def scan_repository(spark: SparkSession, root: str, extensions: tuple[str, ...]
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     inside = F.regexp_replace("path", r"^\w+:/*", "/")
     named = raw.select(inside.alias("path"), F.col("content")).where(F.lower("path").rlike(rf"\.({'|'.join(extensions)})$") & ~F.col("path").rlike(r"/(\.[^/]+|__pycache__)/"))
-    return named.select("path", language_of(F.col("path")).alias("language"), F.decode("content", "utf-8").alias("content"))
+    return named.select("path", language_of(F.col("path")).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
