@@ -74,13 +74,13 @@ def predictability(f: Column, beyond: Column, cap: float, penalty: float = 0.06,
 def python_predictability(text: Column) -> Column:
     """Of Python code; blank text is wholly predictable."""
     f = line_features(strip(text), lexicon.PY_COMPLEX, lexicon.PY_SIMPLE)
-    return F.when(f["n"] == 0, 1.0).otherwise(predictability(f, F.greatest(F.lit(0.0), 0.70 - (f["n"] - 35) * 0.02), 0.35))
+    return F.when(text.isNull(), None).when(f["n"] == 0, 1.0).otherwise(predictability(f, F.greatest(F.lit(0.0), 0.70 - (f["n"] - 35) * 0.02), 0.35))
 
 
 def c_predictability(text: Column) -> Column:
     """Of C code."""
     f = line_features(text, lexicon.C_COMPLEX, lexicon.C_SIMPLE)
-    return predictability(f, F.lit(0.60), 0.30)
+    return F.when(text.isNotNull(), predictability(f, F.lit(0.60), 0.30))
 
 
 def occurrences(text: Column, literal: str) -> Column:
