@@ -30,6 +30,22 @@ C_SIMPLE = (
 # Called names that are no callees of interest.
 CALL_BUILTINS = "if for while switch return sizeof printf fprintf malloc free memcpy memset strcmp strlen sprintf fopen fclose assert exit abort".split()
 
+# Identifiers that say nothing about a body, of Python and of C.
+PY_COMMON = (
+    "self cls return raise pass yield break continue and or not in is if else elif for while try except finally with as import from class "
+    "def lambda del global nonlocal assert async await None True False len str int float bool list dict set tuple type range print open super "
+    "isinstance hasattr getattr setattr enumerate zip map filter sorted reversed any all min max logger log logging os sys re json path "
+    "append extend update get items keys values strip split join format upper lower replace true false none"
+).split()
+C_COMMON = (
+    "if else for while do switch case break continue return goto typedef struct union enum void int char float double long short unsigned signed "
+    "static extern const volatile register auto inline sizeof NULL true false ptr buf len idx num val tmp ret err printf malloc free memset memcpy "
+    "strcmp strcpy"
+).split()
+
+# Phrases of answers that a gate rejects.
+REJECTED = ("i cannot", "i'm unable", "i don't have access", "as an ai")
+
 # Patterns mined from C files by type.
 MINED = {
     "include": r'(?m)^[^\S\n]*#[^\S\n]*include[^\S\n]*[<"][^>"\n]+[>"]',

@@ -12,6 +12,10 @@ from ..functions import lexicon, text
 from ..sources.tables import extension, language_of, repo_of
 
 
+#: A line that a docstring begins on, and what it says.
+DOC_LINE = r"""^[rRuU]?(?:\"\"\"|\'\'\')(.*?)(?:\"\"\"|\'\'\')?$"""
+
+
 def distinct_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
     """Each chunk_no once; repeated rows differ in ingested_at only."""
     return chunks.where("chunk_no is not null").select("chunk_no", *columns).dropDuplicates(["chunk_no"])
@@ -94,6 +98,30 @@ def callees(chunks: DataFrame, most: int = 30) -> DataFrame:
     return named.where(other).select("chunk_no", "place", "callee")
 
 
+def rare_identifiers(chunks: DataFrame, most: int = 15) -> DataFrame:
+    """chunk_no, place, word: the rarest identifiers of every function, ties in the order of words; common ones and constants are left out."""
+    rows = distinct_chunks(chunks, "file_path", "chunk_type", "source").where(F.lower("chunk_type").isin("function", "method"))
+    c = language_of(F.col("file_path")) == "c"
+    words = rows.select("chunk_no", F.coalesce(c, F.lit(False)).alias("c"), F.explode(text.matches(F.col("source"), r"[a-zA-Z_]\w*")).alias("word"))
+    counts = words.groupBy("chunk_no", "c", "word").agg(F.count("*").alias("n"))
+    upper = (F.col("word") == F.upper("word")) & (F.col("word") != F.lower("word"))
+    of_c = ~F.col("word").isin(*lexicon.C_COMMON) & ~F.col("word").startswith("_") & (F.length("word") >= 4)
+    of_py = ~F.col("word").isin(*lexicon.PY_COMMON) & ~F.col("word").startswith("__") & (F.length("word") >= 3)
+    kept = counts.where(~upper & F.when(F.col("c"), of_c).otherwise(of_py))
+    place = F.row_number().over(W.partitionBy("chunk_no").orderBy("n", "word"))
+    return kept.withColumn("place", place).where(F.col("place") <= most).select("chunk_no", "place", "word")
+
+
+def interfaces(files: DataFrame, most: int = 120) -> DataFrame:
+    """path, line_no, entry: the head of every Python function and class, with the first line of a docstring on the next line."""
+    lines = file_lines(files.where(extension(F.col("path")) == "py")).withColumn("bare", text.strip(F.col("line")))
+    after = F.lead("bare").over(W.partitionBy("path").orderBy("line_no"))
+    heads = lines.withColumn("after", after).where(F.col("bare").rlike(r"^(?:def|class|async def) "))
+    told = F.regexp_extract("after", DOC_LINE, 1)
+    entry = F.when(F.length(told) > 0, F.concat("bare", F.lit("  # "), F.substring(told, 1, most))).otherwise(F.col("bare"))
+    return heads.select("path", "line_no", entry.alias("entry"))
+
+
 def callers(meta: DataFrame) -> DataFrame:
     """name, n_definitions, n_callers: of every function name the distinct names that call it (compared in lower case).
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
-from ..sources.tables import extension
+from ..sources.tables import extension, language_of
 from .corpus import distinct_files, file_lines
 
 
@@ -40,6 +40,32 @@ def mask(files: DataFrame) -> DataFrame:
     return out.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["out"]), "\n").alias("masked"), F.sum(F.col("hit").cast("long")).alias("n_masked"), F.sum("before").alias("tokens_before"), F.sum("after").alias("tokens_after"))
 
 
+def pattern_registry(mined: DataFrame) -> DataFrame:
+    """line, marker of mined C patterns that are whole lines (mined_tokens of corpus); only markers that save tokens."""
+    rows = mined.where(F.col("pattern_type").isin("include", "define", "pragma")).select(F.col("pattern").alias("line"), F.col("token").alias("marker")).distinct()
+    return rows.where(text.count_tokens(F.col("marker")) < text.count_tokens(F.col("line")))
+
+
+def mask_patterns(files: DataFrame, known: DataFrame) -> DataFrame:
+    """path, masked, n_masked: lines of C files that a pattern makes up as its marker; white space around them stays."""
+    lines = file_lines(files.where(language_of(F.col("path")) == "c")).withColumn("key", text.strip(F.col("line")))
+    joined = lines.join(known.select(F.col("line").alias("key"), "marker"), "key", "left")
+    space = lambda i: F.regexp_extract("line", r"^(\s*).*?(\s*)$", i)
+    out = joined.select("path", "line_no", "marker", F.when(F.col("marker").isNotNull(), F.concat(space(1), "marker", space(2))).otherwise(F.col("line")).alias("out"))
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "out")))
+    return out.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["out"]), "\n").alias("masked"), F.count("marker").alias("n_masked"))
+
+
+def unmask_patterns(masked: DataFrame, known: DataFrame) -> DataFrame:
+    """path, restored: the markers of mask_patterns by their lines."""
+    lines = masked.select("path", F.posexplode(F.split("masked", "\n")).alias("i", "out")).withColumn("marker", text.strip(F.col("out")))
+    back = lines.join(known, "marker", "left")
+    space = lambda i: F.regexp_extract("out", r"^(\s*).*?(\s*)$", i)
+    line = F.when(F.col("line").isNotNull(), F.concat(space(1), "line", space(2))).otherwise(F.col("out"))
+    parts = F.array_sort(F.collect_list(F.struct("i", line.alias("x"))))
+    return back.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["x"]), "\n").alias("restored"))
+
+
 def unmask(masked: DataFrame, known: DataFrame) -> DataFrame:
     """path, restored: markers by the lines they stand for; unknown markers stay."""
     lines = masked.select("path", F.posexplode(F.split("masked", "\n")).alias("i", "out"))

@@ -74,6 +74,28 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = lexicon.RRF_CONSTANT
     return best(whole.groupBy("qid", "rec").agg(F.round(F.sum("score"), 12).alias("score")), k)
 
 
+def expand(scored: DataFrame, records: DataFrame, k: int, most: int = 2, callees: int = 3, callers: int = 2) -> DataFrame:
+    """qid, rec, score, place, added: the k best of each question and up to ``most`` further scored records, the best of those
+    whose name the k best call or are called by; these have no place.
+
+    ``scored``: qid, rec, score; ``records``: rec, name, callees, callers. Names are compared in lower case.
+    """
+    none = F.array().cast("array<string>")
+    near = F.concat(F.slice(F.coalesce("callees", none), 1, callees), F.slice(F.coalesce("callers", none), 1, callers))
+    named = records.select("rec", F.lower("name").alias("name"), F.transform(near, lambda x: F.lower(x)).alias("near"))
+    kept = best(scored, k)
+    wanted = kept.join(named, "rec").select("qid", F.explode("near").alias("name")).distinct()
+    rest = scored.join(named.select("rec", "name"), "rec").join(wanted, ["qid", "name"], "left_semi").join(kept, ["qid", "rec"], "left_anti")
+    further = best(rest.select("qid", "rec", "score"), most).withColumn("place", F.lit(None).cast("int"))
+    return kept.withColumn("added", F.lit(False)).unionByName(further.withColumn("added", F.lit(True)))
+
+
+def contexts(top: DataFrame, texts: DataFrame) -> DataFrame:
+    """qid, context: the texts (rec, text) of a ranking's records in order, with a rule between them."""
+    parts = F.array_sort(F.collect_list(F.struct("place", "text")))
+    return top.join(texts, "rec").groupBy("qid").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n---\n").alias("context"))
+
+
 def dense_top(questions: DataFrame, records: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """The k records (rec, vector) with the largest cosine for each question (qid, vector).
 

@@ -274,6 +274,59 @@ def mask_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return masking.round_trip(_files(spark, sf))
 
 
+def _pattern_markers(spark: SparkSession, sf: str) -> DataFrame:
+    return masking.pattern_registry(corpus.mined_tokens(corpus.mine_patterns(_files(spark, sf))))
+
+
+_PATTERN_LINES = rf"""{_MINED_SQL}, {_LINE},
+known as (select distinct pattern as key, '§' || substr(sha256(pattern), 1, 8) as marker from mined where pattern_type in ('include', 'define', 'pragma')),
+saves as (select * from known where {_tokens('marker')} < {_tokens('key')}),
+pl as (select path, line_no, line, marker from (select *, {_strip('line')} as key from line where {_LANG.format('path')} = 'c') left join saves using (key))"""
+
+
+@query(rf"""
+with {_PATTERN_LINES}
+select path, string_agg(case when marker is null then line else regexp_extract(line, '^(\s*).*?(\s*)$', 1) || marker || regexp_extract(line, '^(\s*).*?(\s*)$', 2) end, chr(10) order by line_no) as masked, count(marker) as n_masked
+from pl group by path""".replace("\\\\", "\\"))
+def pattern_masked_files(spark: SparkSession, sf: str) -> DataFrame:
+    """C files with mined includes, defines and pragmas behind their tokens."""
+    return masking.mask_patterns(_files(spark, sf), _pattern_markers(spark, sf))
+
+
+@query(f"with {_FILES} select path, true as same from file where content is not null and {_LANG.format('path')} = 'c'")
+def pattern_mask_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether masking and unmasking patterns gives every C file back."""
+    known = _pattern_markers(spark, sf)
+    back = masking.unmask_patterns(masking.mask_patterns(_files(spark, sf), known), known)
+    whole = corpus.distinct_files(_files(spark, sf)).select("path", F.regexp_replace("content", "\r\n", "\n").alias("content"))
+    return back.join(whole, "path").select("path", (F.col("restored") == F.col("content")).alias("same"))
+
+
+_RARE = "case when c then w not in ({c}) and w not like '\\_%' escape '\\' and length(w) >= 4 else w not in ({py}) and w not like '\\_\\_%' escape '\\' and length(w) >= 3 end".format(c=", ".join(f"'{x}'" for x in lexicon.C_COMMON), py=", ".join(f"'{x}'" for x in lexicon.PY_COMMON))
+
+
+@query(rf"""
+with {_CHUNKS}, x as (select chunk_no, coalesce({_LANG.format('file_path')} = 'c', false) as c, unnest(regexp_extract_all(source, '[a-zA-Z_]\w*')) as w from chunk where lower(chunk_type) in ('function', 'method')),
+n as (select chunk_no, c, w, count(*) as n from x group by 1, 2, 3)
+select chunk_no, place::int as place, w as word from (select chunk_no, w, row_number() over (partition by chunk_no order by n, w) as place from n where not (w = upper(w) and w <> lower(w)) and {_RARE}) where place <= 15""")
+def rare_identifiers(spark: SparkSession, sf: str) -> DataFrame:
+    """The rarest identifiers of every function."""
+    return corpus.rare_identifiers(_chunks(spark, sf))
+
+
+_DOC_LINE = corpus.DOC_LINE.replace("'", "''")
+
+
+@query(rf"""
+with {_FILES}, {_LINE}, b as (select path, line_no, {_strip('line')} as bare from line where lower(path) like '%.py'),
+a as (select *, lead(bare) over (partition by path order by line_no) as after from b),
+h as (select *, regexp_extract(after, '{_DOC_LINE}', 1) as told from a where regexp_matches(bare, '^(?:def|class|async def) '))
+select path, line_no, case when length(told) > 0 then bare || '  # ' || substr(told, 1, 120) else bare end as entry from h""")
+def python_interfaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Heads of functions and classes with the first line of their docstring."""
+    return corpus.interfaces(_files(spark, sf))
+
+
 # ---- calls
 
 _BUILTINS = ", ".join(f"'{x}'" for x in lexicon.CALL_BUILTINS)
@@ -386,6 +439,31 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("qid", "rec", F.round("score", 6).alias("score"), "place")
 
 
+_CHAINED = f"""{_CHUNKS}, {_QUESTIONS}, {_ASKED}, {_REC_TERMS}, {_KEYWORD}, {_FIELDS},
+ranked as (select *, row_number() over (partition by qid order by score desc, rec) as place from fs),
+nm as (select c.chunk_no as rec, lower(min(m.name)) as name, min(callee_names) as cal, min(caller_names) as clr from chunk c join fn_meta m using (file_path, chunk_id) group by 1),
+want as (select distinct qid, lower(unnest(list_concat(coalesce(cal, [])[1:3], coalesce(clr, [])[1:2]))) as name from ranked join nm using (rec) where place <= 5),
+more as (select qid, rec, score, place, row_number() over (partition by qid order by place) as n from ranked join nm using (rec) semi join want using (qid, name) where place > 5)"""
+
+
+@query(f"with {_CHAINED} select qid, rec, score, place::int as place, false as added from ranked where place <= 5 union all select qid, rec, score, null::int, true from more where n <= 2")
+def chain_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best function chunks of each question and up to two that they call or are called by."""
+    scored = ranking.field_scores(_questions(spark, sf), _field_records(spark, sf))
+    m = table(spark, sf, "fn_meta").groupBy("file_path", "chunk_id").agg(F.min("name").alias("name"), F.min("callee_names").alias("callees"), F.min("caller_names").alias("callers"))
+    named = corpus.distinct_chunks(_chunks(spark, sf), "file_path", "chunk_id").join(m, ["file_path", "chunk_id"]).select(F.col("chunk_no").alias("rec"), "name", "callees", "callers")
+    return ranking.expand(scored, named, 5)
+
+
+@query(f"""
+with {_CHUNKS}, {_QUESTIONS}, {_ASKED}, {_REC_TERMS}, {_KEYWORD}, top as ({_best('kw', 5)})
+select qid, string_agg(source, chr(10) || '---' || chr(10) order by place) as context from top join chunk on chunk_no = rec group by 1""")
+def question_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The context of each question: its five best chunks in order."""
+    records = _records(spark, sf)
+    return ranking.contexts(ranking.best(ranking.keyword_scores(_questions(spark, sf), records), 5), records)
+
+
 # ---- zones; changed lines are the starts of complex functions
 
 _CHANGED = "changed as (select distinct file_path, start_line as line from fn_meta where complexity = 'complex' and file_path is not null and start_line is not null)"
@@ -490,6 +568,44 @@ def response_code(spark: SparkSession, sf: str) -> DataFrame:
     return quality.distinct_pairs(table(spark, sf, "response_pairs")).select("task_id", quality.code_block("response_full").alias("code"))
 
 
+_IDS = r"list_sort(list_distinct(regexp_extract_all({0}, '[a-zA-Z_]\w*')))"
+
+
+@query(f"""
+with {_PAIRS}, i as (select task_id, {_IDS.format('response_full')} as a, {_IDS.format('response_bridge')} as b from full_pair)
+select task_id, array_to_string(list_filter(a, lambda x: not list_contains(b, x))[1:8], ' ') as lost, array_to_string(list_filter(b, lambda x: not list_contains(a, x))[1:5], ' ') as gained from i""")
+def response_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers that only one of the two responses has, the first of each in order."""
+    rows = quality.distinct_pairs(table(spark, sf, "response_pairs")).where("response_full is not null and response_bridge is not null")
+    ids = lambda c: F.array_distinct(text.matches(F.col(c), r"[a-zA-Z_]\w*"))
+    s = rows.select("task_id", ids("response_full").alias("a"), ids("response_bridge").alias("b"))
+    part = lambda x, y, n: F.array_join(F.slice(F.sort_array(F.array_except(x, y)), 1, n), " ")
+    return s.select("task_id", part("a", "b", 8).alias("lost"), part("b", "a", 5).alias("gained"))
+
+
+_REJECTED = "|".join(lexicon.REJECTED)
+
+
+@query(f"""with {_PAIRS} select task_id, {_words('response_bridge')} >= 20 and not regexp_matches(lower(response_bridge), '{_REJECTED.replace("'", "''")}') as accepted from pair where response_bridge is not null""")
+def answer_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each short answer has enough words and none of the phrases that reject it."""
+    rows = quality.distinct_pairs(table(spark, sf, "response_pairs")).where("response_bridge is not null")
+    ok = (text.count_words(F.col("response_bridge")) >= 20) & ~F.lower("response_bridge").rlike(_REJECTED)
+    return rows.select("task_id", ok.alias("accepted"))
+
+
+@query("""
+with d as (select distinct on (seq) * from decisions where seq is not null),
+v as (select decision_type, case when decision_value like '{%' then json_extract_string(decision_value, '$.zone') end as zone, case when decision_value like '{%' then json_extract_string(decision_value, '$.tier')::bigint else try_cast(decision_value as bigint) end as value from d)
+select decision_type, coalesce(zone, '(number)') as zone, count(*) as n, count(value) as n_values, sum(value)::bigint as total, max(value) as most from v group by 1, 2""")
+def decision_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of decisions, which are numbers or JSON, by type and zone."""
+    d = history.distinct_decisions(table(spark, sf, "decisions"))
+    is_json = F.col("decision_value").like("{%")
+    v = d.select("decision_type", F.when(is_json, F.get_json_object("decision_value", "$.zone")).alias("zone"), F.when(is_json, F.get_json_object("decision_value", "$.tier")).otherwise(F.col("decision_value")).try_cast("bigint").alias("value"))
+    return v.groupBy("decision_type", F.coalesce("zone", F.lit("(number)")).alias("zone")).agg(F.count("*").alias("n"), F.count("value").alias("n_values"), F.sum("value").alias("total"), F.max("value").alias("most"))
+
+
 # ---- histories and audit
 
 _TURNS = rf"""l as (select doc_id as conv_id, unnest({_lines('text')}) as line, generate_subscripts({_lines('text')}, 1) - 1 as turn_id from documents where doc_id is not null),

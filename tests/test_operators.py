@@ -140,6 +140,25 @@ def test_ranking(spark):
     assert [x.rec for x in ranking.fuse([a, b], 3).orderBy("place").collect()] == [11, 10, 12]
 
 
+def test_expand_and_contexts(spark):
+    scored = spark.createDataFrame([(1, i, float(10 - i)) for i in range(8)] + [(2, 0, 1.0)], "qid long, rec long, score double")
+    rows = [(0, "Top", ["FIVE", "x"], None), (1, "b", [], ["six"]), (5, "five", None, None), (6, "Six", None, None), (7, "five", None, None), (3, None, None, None)]
+    records = spark.createDataFrame(rows, "rec long, name string, callees array<string>, callers array<string>")
+    got = {(r.qid, r.rec): (r.place, r.added) for r in ranking.expand(scored, records, 2).collect()}
+    assert got == {(1, 0): (1, False), (1, 1): (2, False), (1, 5): (None, True), (1, 6): (None, True), (2, 0): (1, False)}
+    texts = spark.createDataFrame([(0, "zero"), (1, "one")], "rec long, text string")
+    assert ranking.contexts(ranking.best(scored.where("qid = 1"), 2), texts).first().context == "zero\n---\none"
+
+
+def test_pattern_masking(spark):
+    c = "#include <stdio.h>\n  #define SOME_LONG_NAME_HERE 10\n\nint f(void) { return 1; }\n"
+    files = spark.createDataFrame([(f"r/{i}.c", c) for i in range(3)] + [("r/x.py", c), ("r/n.c", None)], "path string, content string")
+    known = masking.pattern_registry(corpus.mined_tokens(corpus.mine_patterns(files)))
+    masked = {r.path: r for r in masking.mask_patterns(files, known).collect()}
+    assert set(masked) == {"r/0.c", "r/1.c", "r/2.c"} and masked["r/0.c"].n_masked == 2 and masked["r/0.c"].masked.split("\n")[1].startswith("  §")
+    assert {r.restored for r in masking.unmask_patterns(masking.mask_patterns(files, known), known).collect()} == {c}
+
+
 def test_field_ranking(spark):
     rows = [(1, "body alpha", "alpha_fn", "int alpha_fn(x)", ["beta"], None, 5), (2, "alpha alpha", "other", None, None, "alpha told", 500), (3, "zzz", "beta", "f", [], "", None)]
     r = spark.createDataFrame(rows, "rec long, text string, name string, signature string, callees array<string>, summary string, line_count int")
