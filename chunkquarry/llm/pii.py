@@ -52,6 +52,29 @@ _FORWARD = re.compile(rf"(?=(?<![\w@.\-/#'’])({_CAP}(?: {_INITIAL})*(?: {_PART
 _BACKWARD = re.compile(rf"(?=(?<![\w@.\-/#'’])((?:{_PARTICLE} )?{_CAP}, {_CAP}(?: {_INITIAL})*)(?![\w@]|\.\w|-\w))")
 _LOWER = re.compile(rf"(?=(?<![\w@.\-/#'’`])([a-zà-öø-þ][\w'’]+(?:-\w+)?(?: [a-zA-Z]\.)*(?: {_PARTICLE})? [a-zà-öø-þ][\w'’]+(?:-\w+)*|[a-zà-öø-þ][\w'’]+(?:-\w+)?, [a-zà-öø-þ][\w'’]+(?:-\w+)*)(?![\w@`]|\.\w))")
 
+_SMALL = re.compile(r"(?<![\w@.\-/#'’`])[a-zà-öø-þ][\w'’]+(?:-\w+)?")
+_SURNAME = re.compile(r"(?<![\w@.\-/#'’])([a-zà-öø-þ][\w'’]+(?:-\w+)?), $")
+_LINE = re.compile(r"[^\n]+")
+#: Kinds of streets as they are written, then as they are written in any case. Fixed values.
+_STREETS = tuple("Street, St,Road, Rd,Lane, Ln,Close,Ave,Drive, Dr,Court, Ct,Way,Square, Sq,Terrace,Boulevard,Blvd,Cres,Place,Row,Mews,Hill,Gardens,Grove,Parkway,Pkwy,Highway,Hwy,Walk,traße,trasse,tr.,Allee,allee,Platz,platz,Weg,weg,Gasse,gasse,Ring,ring ,Damm,damm,Ufer,ufer,Chaussee,Steig,Pfad,Calle,C/,Plaza,Pza.,Avenida,Avda.,Av.,Paseo,Camino,Ronda,Travesía,Carrera,Am ,Im ,An de,Auf de,Hinter de,Unter de,Zum ,Zur ,Beim ,Rue,Impasse".split(","))
+_RUES = ("rue ", "avenue ", "impasse ", "place ", "boulevard ", "bd ", "allée ", "chemin ", "quai ", "cours ", "route ", "square ", "passage ")
+
+
+def _has_street(line: str) -> bool:
+    if any(w in line for w in _STREETS):
+        return True
+    low = line.lower()
+    return any(w in low for w in _RUES)
+
+
+#: What a line has to hold for a kind's patterns to be tried on it at all.
+_HINTS = {
+    "email": re.compile(r"@|[\[({<]\s?(?i:at|arroba|chez|ät)\s?[\])}>]|\s(?:at|AT)\s.*(?i:dot)"),
+    "id_number": re.compile(r"\d{2}"),
+    "phone": re.compile(r"\d[\d()./ \-]{5,}\d"),
+    "address": re.compile(r"\d"),
+}
+
 _CONTEXT = {
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|mailto|contact|reply|reach|repl|report|reporter|write|écri\w*|signalement|escrib\w*|correo|rückfragen|gemeldet|schreib\w*|signed-off-by|cc|author|invit\w*)\b"),
     "phone": re.compile(r"(?i)\b(?:ring|phone|call(?! chain)|tel|telefon\w*|téléphone|teléfono|pager|on call|reach|joignable|astreinte|anrufen|ausfall|llam\w+|mobile|fax|hotline|dial|guardia|rufnummer|numéro)\b"),
@@ -103,8 +126,11 @@ def _key(words: list[str]) -> str:
 def candidates(text: str, given: frozenset[str]) -> list[tuple]:
     """(kind, start, end, mention, votes, left key, right key, first name, gazetteer hit)."""
     out, taken = [], []
+    lines = [(m.start(), m.end()) for m in _LINE.finditer(text)]
     for kind, pattern in (("email", _EMAIL), ("id_number", _ID), ("phone", _PHONE), ("address", _ADDRESS)):
-        for m in pattern.finditer(text):
+        hint = _HINTS[kind]
+        tried = [(low, high) for low, high in lines if hint.search(text, low, high) and (kind != "address" or _has_street(text[low:high]))]
+        for m in (m for low, high in tried for m in pattern.finditer(text, low, high)):
             start, end, mention = m.start(), m.end(), m[0]
             if kind == "phone":
                 if mention.count("(") != mention.count(")"):
@@ -131,8 +157,8 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
                 votes[4] = 1
             out.append((kind, start, end, mention, votes, "", "", "", False))
             taken.append((start, end))
-    for pattern in (_FORWARD, _BACKWARD, _LOWER):
-        for m in pattern.finditer(text):
+    for pattern, found in ((_FORWARD, _FORWARD.finditer(text)), (_BACKWARD, _BACKWARD.finditer(text)), (_LOWER, _lower_names(text, given))):
+        for m in found:
             start, end, mention = m.start(1), m.end(1), m[1]
             first, last, backward = _name_parts(mention)
             known = first in given or bool(re.split(r"-", first)[0] in given and "-" in first)
@@ -154,6 +180,17 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
     return out
 
 
+def _lower_names(text: str, given: frozenset[str]) -> Iterator[re.Match]:
+    """Names in small letters that hold a listed given name."""
+    for w in _SMALL.finditer(text):
+        if w[0] in given or w[0].partition("-")[0] in given:
+            if m := _LOWER.match(text, w.start()):
+                yield m
+            before = _SURNAME.search(text, max(0, w.start() - 40), w.start())
+            if before and (m := _LOWER.match(text, before.start(1))):
+                yield m
+
+
 _CANDIDATE = "doc_id long, kind string, start int, stop int, mention string, v array<int>, left string, right string, first string, known boolean"
 
 
