@@ -22,9 +22,11 @@ import re
 import warnings
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import language_of, repo_of
 from .grammars import statement_error
@@ -111,7 +113,7 @@ def _blocks(text: str) -> Iterator[str]:
         at = end
 
 
-_MAP = "path string, language string, block int, entry string, exit string, brackets string, branches boolean"
+_MAP = "path string, blocks int, block int, entry string, exit string, brackets string, branches boolean"
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,23 +121,37 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "text"))):
-            for i, block in enumerate(_blocks(text.replace("\r\n", "\n"))):
+            blocks = list(_blocks(text.replace("\r\n", "\n")))
+            for i, block in enumerate(blocks):
                 for entry in _STATES[language] if i else ("N",):
-                    rows.append((path, language, i, entry, *lex(language, block, entry)))
-        types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
+                    rows.append((path, len(blocks), i, entry, *lex(language, block, entry)))
+        types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
-def _reduce(table: pa.Table) -> pa.Table:
-    """Compose the maps of one file in the order of its blocks."""
-    maps = {(b, e): (x, s, a) for b, e, x, s, a in zip(*(table.column(c).to_pylist() for c in ("block", "entry", "exit", "brackets", "branches")))}
+def compose(maps: list) -> bool:
+    """Whether a file closes everything: its maps (block, entry, exit, brackets, branches) composed in the order of blocks."""
+    by = {(m["block"], m["entry"]): m for m in maps}
     state, summary, branches = "N", "", False
-    for i in range(max(b for b, _ in maps) + 1):
-        state, brackets, several = maps[i, state]
-        branches |= several
-        summary = None if summary is None or brackets is None else cancel(summary, brackets)
-    closed = state == "N" and (summary == "" or branches)
-    return pa.table({"path": table.column("path")[:1], "closed": pa.array([closed])})
+    for i in range(max(b for b, _ in by) + 1):
+        m = by[i, state]
+        state = m["exit"]
+        branches |= bool(m["branches"])
+        summary = None if summary is None or m["brackets"] is None else cancel(summary, m["brackets"])
+    return state == "N" and (summary == "" or branches)
+
+
+@F.pandas_udf(T.BooleanType())
+def _composed(maps: pd.Series) -> pd.Series:
+    return pd.Series([compose(list(m)) if m is not None and len(m) else None for m in maps], dtype=object)
+
+
+def _closed(maps: DataFrame) -> DataFrame:
+    """path, closed. The one map of a file of one block is its result; others are composed in their order."""
+    alone = (F.col("exit") == "N") & (F.coalesce(F.col("brackets") == "", F.lit(False)) | F.col("branches"))
+    several = F.when(F.col("blocks") > 1, F.struct("block", "entry", "exit", "brackets", "branches"))
+    files = maps.groupBy("path").agg(F.max("blocks").alias("blocks"), F.bool_or(alone).alias("alone"), F.collect_set(several).alias("maps"))
+    return files.select("path", F.when(F.col("blocks") == 1, F.col("alone")).otherwise(_composed("maps")).alias("closed"))
 
 
 _CONTINUES = re.compile(r"(?:else|elif|except|finally)\b|[)\]}]")
@@ -212,8 +228,8 @@ def invalid_files(files: DataFrame) -> DataFrame:
     known = known.where("language is not null and length(text) > 0")
     numbered = known.withColumn("version", F.xxhash64("text"))
     key = F.concat_ws("|", F.col("path"), F.col("version"))
-    closed = numbered.select(key.alias("path"), "language", "text").mapInArrow(_maps, _MAP).dropDuplicates(["path", "block", "entry"]).groupBy("path").applyInArrow(_reduce, "path string, closed boolean")
-    again = numbered.select(key.alias("key"), "path", "language", "text").join(closed.withColumnRenamed("path", "key"), "key")
+    maps = numbered.select(key.alias("path"), "language", "text").mapInArrow(_maps, _MAP)
+    again = numbered.select(key.alias("key"), "path", "language", "text").join(_closed(maps).withColumnRenamed("path", "key"), "key")
     return again.select("path", "language", "text", "closed").mapInArrow(_judge, "path string, fails boolean").where("fails").select("path").distinct()
 
 
