@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
 
+#: Given names go to all tasks; a longer list is refused, never cut.
+MOST_NAMES = 1_000_000
 KINDS = ("email", "id_number", "phone", "address", "name")
 
 _LOCAL = r"[\w.%+\-]*[\w%+\-]"
@@ -61,16 +63,20 @@ _RUES = ("rue ", "avenue ", "impasse ", "place ", "boulevard ", "bd ", "allée "
 
 
 def _has_street(line: str) -> bool:
-    if any(w in line for w in _STREETS):
-        return True
+    for w in _STREETS:
+        if w in line:
+            return True
     low = line.lower()
-    return any(w in low for w in _RUES)
+    for w in _RUES:
+        if w in low:
+            return True
+    return False
 
 
 #: What a line has to hold for a kind's patterns to be tried on it at all.
 _HINTS = {
     "email": re.compile(r"@|[\[({<]\s?(?i:at|arroba|chez|ät)\s?[\])}>]|\s(?:at|AT)\s.*(?i:dot)"),
-    "id_number": re.compile(r"\d{2}"),
+    "id_number": re.compile(r"\d(?:[ \-]?\d){5}|[A-Z]\d{2}[A-Z0-9]{5}"),
     "phone": re.compile(r"\d[\d()./ \-]{5,}\d"),
     "address": re.compile(r"\d"),
 }
@@ -182,6 +188,9 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
 
 def _lower_names(text: str, given: frozenset[str]) -> Iterator[re.Match]:
     """Names in small letters that hold a listed given name."""
+    words = set(_SMALL.findall(text))
+    if words.isdisjoint(given) and not any("-" in w and w.partition("-")[0] in given for w in words if len(w) > 4):
+        return
     for w in _SMALL.finditer(text):
         if w[0] in given or w[0].partition("-")[0] in given:
             if m := _LOWER.match(text, w.start()):
@@ -206,7 +215,10 @@ def _candidate_rows(given: frozenset[str]):
 
 def spans(documents: DataFrame, given_names: DataFrame, least: int = 2, share: float = 0.3) -> DataFrame:
     """Every candidate span with its votes, v0 to v5, of the labelers."""
-    given = frozenset(r.given_name.lower() for r in given_names.where("given_name is not null").limit(100_000).collect())
+    rows = given_names.where("given_name is not null").select(F.lower("given_name").alias("g")).distinct().limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"a list of more than {MOST_NAMES} given names is no gazetteer")
+    given = frozenset(r.g for r in rows)
     found = documents.where("doc_id is not null and length(text) > 0").select("doc_id", "text").mapInPandas(_candidate_rows(given), _CANDIDATE)
     found = checkpointed(found)  # read five times below
     names = found.where("kind = 'name'")
