@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,8 +16,11 @@ from ..sources.tables import extension, language_of, repo_of
 DOC_LINE = r"""^[rRuU]?(?:\"\"\"|\'\'\')(.*?)(?:\"\"\"|\'\'\')?$"""
 
 
-def distinct_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
-    """Each chunk_no once; repeated rows differ in ingested_at only."""
+def distinct_chunks(chunks: DataFrame, *columns: str | Column) -> DataFrame:
+    """Each chunk_no once, with columns or expressions, which are computed first: repeated rows differ in ingested_at only.
+
+    What is derived from source should be given as an expression, so that it is shuffled instead of the text.
+    """
     return chunks.where("chunk_no is not null").select("chunk_no", *columns).dropDuplicates(["chunk_no"])
 
 
@@ -91,9 +94,9 @@ def repo_rollup(files: DataFrame) -> DataFrame:
 
 def callees(chunks: DataFrame, most: int = 30) -> DataFrame:
     """chunk_no, place, callee: distinct names called, in the order of their first call, without builtins and itself."""
-    rows = distinct_chunks(chunks, "name", "source")
     calls = F.slice(F.filter(F.array_distinct(F.regexp_extract_all("source", F.lit(r"\b([A-Za-z_]\w+)\s*\("), F.lit(1))), lambda c: F.length(c) >= 2), 1, most)
-    named = rows.select("chunk_no", "name", F.posexplode(calls).alias("place", "callee"))
+    rows = distinct_chunks(chunks, "name", calls.alias("calls"))
+    named = rows.select("chunk_no", "name", F.posexplode("calls").alias("place", "callee"))
     other = ~F.col("callee").isin(*lexicon.CALL_BUILTINS) & (F.lower("callee") != F.lower(F.coalesce("name", F.lit(""))))
     return named.where(other).select("chunk_no", "place", "callee")
 

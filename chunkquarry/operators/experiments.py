@@ -26,9 +26,9 @@ def skeleton_grid(chunks: DataFrame, values: dict[str, tuple[float, ...]] = GRID
     The features of a chunk don't depend on the setting, so chunks are first counted by features; the settings meet that
     small table, not the chunks.
     """
-    functions = distinct_chunks(chunks, "file_path", "chunk_type", "source").where(F.lower("chunk_type").isin("function", "method") & F.col("source").isNotNull() & (language_of(F.col("file_path")) == "python"))
+    functions = chunks.where(F.lower("chunk_type").isin("function", "method") & F.col("source").isNotNull() & (language_of(F.col("file_path")) == "python"))
     f = text.line_features(text.strip(F.col("source")), lexicon.PY_COMPLEX, lexicon.PY_SIMPLE)
-    rows = functions.select(f.alias("f"), text.count_tokens(F.col("source")).alias("tokens")).select("f.n", "f.k", (F.col("f.s") >= 0.5 * F.col("f.n")).alias("plain"), "tokens")
+    rows = distinct_chunks(functions, f.alias("f"), text.count_tokens(F.col("source")).alias("tokens")).select("f.n", "f.k", (F.col("f.s") >= 0.5 * F.col("f.n")).alias("plain"), "tokens")
     by_feature = rows.groupBy("n", "k", "plain").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
     tried = by_feature.withColumn("g", F.explode(grid(values))).select("*", "g.*")
     features = F.struct("n", "k", F.when(F.col("plain"), F.col("n")).otherwise(F.lit(0)).alias("s"))

@@ -43,8 +43,8 @@ def predicted(chunks: DataFrame) -> DataFrame:
 
 def classify(chunks: DataFrame, changed: DataFrame, decay: float = 0.1, hot: float = 0.10, complex_below: float = 0.70) -> DataFrame:
     """chunk_no, file_path, pi, hzs, zone: foreground if near a change or hard to predict; without changes hzs is 0."""
-    rows = distinct_chunks(chunks, "file_path", "start_line", "source").where("source is not null")
-    scored = nearest_changed(predicted(rows).drop("source"), changed)
+    rows = distinct_chunks(predicted(chunks.where("source is not null")), "file_path", "start_line", "pi")
+    scored = nearest_changed(rows, changed)
     hzs = F.coalesce(F.exp(-decay * F.col("distance")), F.lit(0.0))
     front = (hzs > hot) | (F.col("pi") < complex_below)
     return scored.select("chunk_no", "file_path", "pi", hzs.alias("hzs"), F.when(front, "FOREGROUND").otherwise("BACKGROUND").alias("zone"))

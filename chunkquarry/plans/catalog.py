@@ -102,8 +102,7 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {_CHUNKS} select chunk_no, {_tokens('source')} as tokens, {_words('source')} as words from chunk")
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Estimated tokens and words of every chunk, next to the recorded number."""
-    rows = corpus.distinct_chunks(_chunks(spark, sf), "source")
-    return rows.select("chunk_no", text.count_tokens(F.col("source")).alias("tokens"), text.count_words(F.col("source")).alias("words"))
+    return corpus.distinct_chunks(_chunks(spark, sf), text.count_tokens(F.col("source")).alias("tokens"), text.count_words(F.col("source")).alias("words"))
 
 
 @query(f"select doc_id, term, count(*) as n from (select doc_id, unnest({_terms('text')}) as term from documents) group by 1, 2")
@@ -129,8 +128,7 @@ def char_entropy(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {_CHUNKS}, {_SCORED} select chunk_no, round(pi, 6) as pi from scored")
 def predictability(spark: SparkSession, sf: str) -> DataFrame:
     """How predictable every chunk is in its language."""
-    rows = corpus.distinct_chunks(_chunks(spark, sf), "file_path", "source").where("source is not null")
-    return zones.predicted(rows).select("chunk_no", F.round("pi", 6).alias("pi"))
+    return corpus.distinct_chunks(zones.predicted(_chunks(spark, sf).where("source is not null")), F.round("pi", 6).alias("pi"))
 
 
 _BRANCHES = " + ".join(f"(length(low) - length(replace(low, {lit}, ''))) // {n}" for lit, n in (("' if '", 4), ("chr(9) || 'if('", 4), ("chr(10) || 'if('", 4), ("' for('", 5), ("' while('", 7), ("' switch('", 8)))
@@ -141,8 +139,8 @@ with {_CHUNKS}, b as (select chunk_no, end_line - start_line + 1 as n, {_BRANCHE
 select chunk_no, branches, case when branches >= 8 or n > 150 then 'complex' when branches >= 3 or n > 40 then 'moderate' else 'simple' end as complexity from b""")
 def complexity_class(spark: SparkSession, sf: str) -> DataFrame:
     """Branches and complexity class of every chunk."""
-    rows = corpus.distinct_chunks(_chunks(spark, sf), "source", "start_line", "end_line").where("source is not null")
-    return rows.select("chunk_no", text.branches(F.col("source")).alias("branches"), text.complexity(F.col("source"), F.col("end_line") - F.col("start_line") + 1).alias("complexity"))
+    rows = _chunks(spark, sf).where("source is not null")
+    return corpus.distinct_chunks(rows, text.branches(F.col("source")).alias("branches"), text.complexity(F.col("source"), F.col("end_line") - F.col("start_line") + 1).alias("complexity"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in lexicon.STOP_WORDS)
@@ -188,8 +186,7 @@ def synonym_swaps(spark: SparkSession, sf: str) -> DataFrame:
 with {_CHUNKS} select chunk_no, sha256(source) as hash, substr(sha256(source || '|0'), 1, 8) as short, ('0x' || substr(md5(chunk_id), 1, 8))::bigint as point from chunk""")
 def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """Content hash, short hash and point number of every chunk."""
-    rows = corpus.distinct_chunks(_chunks(spark, sf), "chunk_id", "source")
-    return rows.select("chunk_no", F.sha2("source", 256).alias("hash"), text.short_hash(F.col("source"), F.lit(0)).alias("short"), text.point_id(F.col("chunk_id")).alias("point"))
+    return corpus.distinct_chunks(_chunks(spark, sf), F.sha2("source", 256).alias("hash"), text.short_hash(F.col("source"), F.lit(0)).alias("short"), text.point_id(F.col("chunk_id")).alias("point"))
 
 
 # ---- mining and caches

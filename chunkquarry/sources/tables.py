@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 SHARED_DIR = "spark.checkpoint.dir"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data directory."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """One table of a data directory.
+
+    A table of fewer splits than there are cores (a small file is one split) is spread over the cores; its rows then come
+    in no fixed order. Larger tables are read as they lie.
+    """
+    rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if spread and 1 <= rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_dir(spark: SparkSession) -> None:
