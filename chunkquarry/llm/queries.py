@@ -22,7 +22,7 @@ def query(f: Query) -> Query:
 
 
 def _span_records(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.span_records(table(spark, sf, "chunks"), table(spark, sf, "patterns"))
+    return spans.span_records(*(table(spark, sf, t, spread=False) for t in ("chunks", "patterns")))  # in the order of the files
 
 
 @query

@@ -57,11 +57,12 @@ def difference_set(order: int) -> tuple[int, np.ndarray]:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out, known, step = np.ones(max(n, 1), dtype=np.uint64), 1, np.uint64(base)
+    out, known, step = np.ones(max(n, 1), dtype=np.uint64), 1, base
     while known < n:
         take = min(known, n - known)
-        out[known : known + take] = out[:take] * step
-        step, known = step * step, known * 2
+        with np.errstate(over="ignore"):
+            out[known : known + take] = out[:take] * np.uint64(step)
+        step, known = step * step % (1 << 64), known * 2
     return out
 
 
@@ -398,7 +399,8 @@ def shared_spans(records: DataFrame, min_len: int = 200, order: int = 11, positi
     ``records``: rec bigint, grp bigint, text string; other columns are ignored. Records of one group do not count
     as others for each other; a repeated row is in its own group and so finds nothing in itself. Result: rec,
     starts and lengths of the covered stretches (overlapping or touching ones merged); both are empty without
-    ``positions``, which saves sending them. ``order`` is the prime order of the difference cover; its period has
+    ``positions``, which saves sending them. A task that runs again has to get its rows in the same order: records should
+    come from a scan. ``order`` is the prime order of the difference cover; its period has
     to be shorter than ``min_len``.
     """
     period, cover = difference_set(order)
