@@ -38,7 +38,7 @@ def _parts(text: str, begin: int, end: int, starts: list[int], limit: int, level
         out.append((begin, end, level))
         return
     if level == len(SEPARATORS) - 1:
-        out.extend((i, i + 1, level) for i in range(begin, end))
+        out.extend((i, i + 1, level if i == begin else level + 1) for i in range(begin, end))
         return
     low, high = starts[begin], starts[end] if end < len(starts) else len(text)
     cuts, last = [begin], begin
@@ -53,7 +53,7 @@ def _parts(text: str, begin: int, end: int, starts: list[int], limit: int, level
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, boundary) of the pieces of a text of more than ``limit`` words; boundary: of its start."""
+    """(start, end, words, boundary) of the pieces of a text of more than ``limit`` words; boundary: the separator before it."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     if len(words) <= limit:
         return []
@@ -70,8 +70,9 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str
             first = begins[i]
             continue
         stop = parts[j][1]
-        level = parts[bisect_right(begins, first) - 1][2] if first in _as_set(begins) else len(SEPARATORS) - 1
-        out.append((words[first][0], words[stop - 1][1], stop - first, "start" if not first else SEPARATORS[min(max(level - 1, 0), len(SEPARATORS) - 1)][0]))
+        at = bisect_left(begins, first)
+        level = parts[at][2] if begins[at] == first else len(SEPARATORS)
+        out.append((words[first][0], words[stop - 1][1], stop - first, SEPARATORS[level - 1][0] if first else "start"))
         i = j + 1
         if i < len(parts):
             room = min(overlap, limit - (parts[i][1] - parts[i][0]))
@@ -81,17 +82,6 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str
     return out
 
 
-class _as_set:
-    """Membership in a sorted list."""
-
-    def __init__(self, ordered: list[int]):
-        self.ordered = ordered
-
-    def __contains__(self, x: int) -> bool:
-        i = bisect_left(self.ordered, x)
-        return i < len(self.ordered) and self.ordered[i] == x
-
-
 def char_pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
     """The same for a limit in characters: by words while they fit, a longer word by characters."""
     if len(text) <= limit:
