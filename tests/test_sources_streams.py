@@ -64,3 +64,11 @@ def test_streams_in_several_batches(spark, tmp_path):
     sessions = channels.drain(channels.session_counts(stream(), "90 minutes"), spark, "sessions", "complete")
     assert sessions.agg(F.sum("n")).first()[0] == 90
     assert json.dumps({}) == "{}"
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    rows = tables.table(spark, str(tmp_path), "t")
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.count() == 100
+    assert tables.table(spark, str(tmp_path), "t", spread=False).rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    assert tables.buckets_for(rows) >= 48
