@@ -13,7 +13,7 @@ The vocabulary is a file of ranks in base64, one token a line. The driver reads
 from __future__ import annotations
 
 import base64
-import sys
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -181,7 +181,7 @@ def pretoken_starts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = np.ones(1, dtype=np.uint64)
-_COUNTERS: dict[int, Counter] = {}
+_COUNTERS: dict[str, Counter] = {}  # of a worker, by vocabulary
 
 
 def _hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -217,9 +217,8 @@ def count_batch(texts: pa.Array, counter: Counter) -> np.ndarray:
     return total[np.searchsorted(starts, ends)] - total[np.searchsorted(starts, begins)]
 
 
-def _counting(ranks_handle, passed: list[str]):
+def _counting(ranks_handle, key: str, passed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(sys.modules[__name__])
         if key not in _COUNTERS:
             _COUNTERS[key] = Counter(ranks_handle.value)
         counter = _COUNTERS[key]
@@ -241,9 +240,11 @@ def _counting(ranks_handle, passed: list[str]):
 def token_counts(items: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The items (text string and any other columns) with n_tokens in place of text."""
     passed = [f for f in items.schema.fields if f.name not in ("text", "n_tokens")]
-    handle = items.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    ranks = read_ranks(vocabulary)
+    handle = items.sparkSession.sparkContext.broadcast(ranks)
+    key = hashlib.blake2b(repr(sorted(ranks.items())).encode()).hexdigest()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed)
-    return items.select("text", *[f.name for f in passed]).mapInArrow(_counting(handle, [f.name for f in passed]), f"{schema}, n_tokens long" if schema else "n_tokens long")
+    return items.select("text", *[f.name for f in passed]).mapInArrow(_counting(handle, key, [f.name for f in passed]), f"{schema}, n_tokens long" if schema else "n_tokens long")
 
 
 #: Spellings of a language in the tables. Fixed values.

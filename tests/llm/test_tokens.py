@@ -37,6 +37,15 @@ def test_any_text(texts):
     assert tokens.count_batch(pa.array(texts, pa.string()), counter).tolist() == [len(exact.encode_ordinary(t)) for t in texts]
 
 
+def test_two_vocabularies(spark, tmp_path):
+    import base64
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256}
+    (tmp_path / "v").write_text("\n".join(f"{base64.b64encode(t).decode()} {r}" for t, r in ranks.items()))
+    df = spark.createDataFrame([(1, "abab ab")], "doc_id long, text string").coalesce(1)
+    assert tokens.token_counts(df).first().n_tokens != tokens.token_counts(df, str(tmp_path / "v")).first().n_tokens == 4
+
+
 def test_frames(spark, monkeypatch):
     rows = [(1, "en", "a b c"), (2, None, None), (3, "de", ""), (4, "en", "x" * 5000), (4, "en", "x" * 5000)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, language string, text string, n_tokens int")
