@@ -415,6 +415,7 @@ def shared_spans(records: DataFrame, min_len: int = 200, order: int = 11, positi
         .groupBy("batch").applyInArrow(_to_records, "cand long, shared binary")
         .groupBy("cand").agg(F.collect_list("shared").alias("shared"))
     )
+    buckets = max(12, buckets // 4)  # the second round sends less, and every blob repeats the groups of its records
     return (
         usable.join(candidates, usable.rec == candidates.cand).select("rec", "grp", "text", "shared")
         .mapInArrow(_window_blobs(period, cover, width, min_len, buckets, positions), _BLOB)
