@@ -237,7 +237,13 @@ def _sized_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    """One mixture of the ten sources, as large as all of them together, in the order of slot and seq."""
+    """One mixture of the ten sources at their target shares, in the order of slot and seq."""
+    return mix.mixture(_sized_documents(spark, sf), table(spark, sf, "mix_targets"))
+
+
+@query
+def p9_available(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixture as large as all sources together, in which small sources stay below their shares (see p9_shares)."""
     return mix.mixture(_sized_documents(spark, sf), table(spark, sf, "mix_targets"), total="available")
 
 

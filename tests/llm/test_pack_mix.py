@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from chunkquarry.llm import mix, pack
+from chunkquarry.llm import mix, pack, queries
 
 
 def containers_of(lines, counts):
@@ -93,3 +93,13 @@ def test_mixture(spark):
     report = {r.source: r for r in mix.shares(mix.mixture(df, targets, block=200), targets).collect()}
     assert abs(report["a"].actual_share - 0.5) < 0.02 and report["zz"].tokens == 0 and report["c"].most_uses <= 4
     assert mix.mixture(df.limit(0), targets).collect() == []
+
+
+def test_registered_mixture_keeps_the_target_shares(spark, tmp_path):
+    docs = [(i, "a" if i < 400 else "b", "en", "x", "some words of text " * (1 + i % 3)) for i in range(440)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, domain string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    targets.write.parquet(f"{tmp_path}/mix_targets.parquet")
+    exact, available = ({r.source: r for r in mix.shares(queries.QUERIES[q](spark, str(tmp_path)), targets).collect()} for q in ("p9_mixture", "p9_available"))
+    assert all(abs(r.actual_share - 0.5) < 0.02 and r.most_uses <= r.max_repeats for r in exact.values())
+    assert available["b"].actual_share < 0.25 and available["b"].most_uses == 2
