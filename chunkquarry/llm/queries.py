@@ -95,6 +95,26 @@ select kind, text as value, count(*) as occurrences, count(distinct rec) as reco
 from recs group by 1, 2"""
 
 
+@query
+def p3_value_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The same overall (kind 'all') as well as by type, marked within each as terms are."""
+    recs = terms.records(table(spark, sf, "patterns"))
+    both = recs.unionByName(recs.withColumn("kind", F.lit("all")))
+    out = terms.marked(terms.value_frequencies(both), both, keys=("kind",))
+    return out.select("kind", "value", "occurrences", "records", "recorded_least", "recorded_most", "mark")
+
+
+ORACLES["p3_value_totals"] = f"""
+with recs as ({_RECORDS_SQL}),
+typed as (select rec, kind, text, recorded from recs union all select rec, 'all', text, recorded from recs),
+freq as (select kind, text as value, count(*) as occurrences, count(distinct rec) as records,
+                min(recorded) as recorded_least, max(recorded) as recorded_most from typed group by 1, 2),
+total as (select kind, count(*) as n from typed group by 1)
+select kind, value, occurrences, records, recorded_least, recorded_most,
+       case when records = 1 then 'rare' when records > 0.02 * n then 'common' end as mark
+from freq join total using (kind)"""
+
+
 def _limit(spark: SparkSession, sf: str, name: str):
     """A row of size_limits, a table of a handful of settings."""
     return table(spark, sf, "size_limits").where(F.col("limit_name") == name).orderBy("capacity").first()

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from chunkquarry.llm import docs, split, terms
+from chunkquarry.llm import docs, queries, split, terms
 
 
 @pytest.mark.parametrize(
@@ -151,3 +151,13 @@ def test_terms(spark):
     assert {r.kind for r in recs.collect()} == {"define", "unknown", "in_clude"}
     assert terms.term_frequencies(terms.records(df.limit(0))).collect() == []
     assert sum(r.records for r in terms.value_frequencies(recs).collect()) == 300
+
+
+def test_values_overall(spark, tmp_path):
+    rows = [(1, "x", "Define", 4), (2, "x", "include", 9), (2, "x", "include", 9), (3, "y", None, None), (4, None, "define", 1)]
+    rows += [(i, f"z{i}", "define", 1) for i in range(10, 70)]
+    spark.createDataFrame(rows, "pattern_no long, original string, pattern_type string, frequency int").write.parquet(f"{tmp_path}/patterns.parquet")
+    out = {(r.kind, r.value): tuple(r)[2:] for r in queries.QUERIES["p3_value_totals"](spark, str(tmp_path)).collect()}
+    assert out["all", "x"] == (2, 2, 4, 9, "common") and out["all", "y"] == (1, 1, None, None, "rare")
+    assert out["define", "x"] == (1, 1, 4, 4, "rare") and out["include", "x"] == (1, 1, 9, 9, "rare")
+    assert len(out) == 62 + 63
