@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import checkpointed
 
 ROLE = r"^(user|assistant|system): (.*)$"
 
@@ -73,16 +74,19 @@ def latest(decisions: DataFrame) -> DataFrame:
     return newest.select("agent_id", "decision_type", "m.decision_value", "m.seq")
 
 
-def slice_depth(decisions: DataFrame, rounds: int = 6) -> DataFrame:
-    """slice_id, depth: how many ancestors a message slice has within the table.
+def slice_depth(decisions: DataFrame) -> DataFrame:
+    """slice_id, depth: how many ancestors a message slice has within the table, null if they run into a cycle.
 
     Ancestors are followed by pointer doubling: each round joins the table of pointers with itself and doubles the
-    distance they span, so ``rounds`` rounds reach 2**rounds levels.
+    distance they span, until no pointer is left. Pointers that are left once they span more than all rows never end.
     """
     rows = decisions.where("slice_id is not null").groupBy("slice_id").agg(F.max("parent_slice_id").alias("parent"))
-    known = rows.select(F.col("slice_id").alias("parent"), F.lit(1).alias("steps"))
+    known = rows.select(F.col("slice_id").alias("parent"), F.lit(1).cast("long").alias("steps"))
     level = rows.join(known, "parent", "left").select("slice_id", F.when(F.col("steps") == 1, F.col("parent")).alias("up"), F.coalesce("steps", F.lit(0)).alias("depth"))
-    for _ in range(rounds):
+    level = checkpointed(level)
+    for _ in range(level.count().bit_length()):
+        if level.where("up is not null").isEmpty():
+            break
         above = level.select(F.col("slice_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        level = level.join(above, "up", "left").select("slice_id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    return level.select("slice_id", "depth")
+        level = checkpointed(level.join(above, "up", "left").select("slice_id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    return level.select("slice_id", F.when(F.col("up").isNull(), F.col("depth")).cast("int").alias("depth"))

@@ -240,6 +240,13 @@ def test_history(spark):
     assert {(r.agent, r.kind): r.n for r in history.audit_summary(d).collect()}[(None, None)] == 4
 
 
+def test_depth_of_long_chains_and_cycles(spark):
+    rows = [(f"s{i}", f"s{i - 1}" if i else None) for i in range(150)] + [("a", "b"), ("b", "a"), ("c", "a"), ("own", "own"), ("t", "gone")]
+    d = spark.createDataFrame(rows, "slice_id string, parent_slice_id string")
+    out = {r.slice_id: r.depth for r in history.slice_depth(d).collect()}
+    assert out == {f"s{i}": i for i in range(150)} | {"a": None, "b": None, "c": None, "own": None, "t": 0}
+
+
 def test_experiments(spark):
     rows = [(i, "a.py", "Function", PY[: 40 * (i + 1)]) for i in range(20)] + [(99, "a.c", "function", C), (98, "a.py", "class", PY), (97, "a.py", "function", None)]
     df = spark.createDataFrame(rows, "chunk_no long, file_path string, chunk_type string, source string")
