@@ -7,6 +7,7 @@ that a statement ends as the language wants it, and that only declarations stand
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 _ID = r"[^\W\d]\w*"
 _NUM = r"(?:0[xX][\da-fA-F_']+|0[bB][01_']+|\d[\d_']*(?:\.(?!\.)[\d_]*)?(?:[eEpP][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)[A-Za-z_\d]*"
@@ -25,33 +26,70 @@ class Bad(Exception):
     """A statement that no rule accepts."""
 
 
-def _c_lines(text: str) -> str:
-    """The text with preprocessor lines blanked and only the first branch of each conditional left."""
-    out, depth, skipping, lines, i, comment = [], 0, 0, text.split("\n"), 0, False
-    stack: list[bool] = []
+_NEVER = {"0": False, "1": True}
+
+
+def _c_condition(word: str, rest: str) -> tuple[str, bool]:
+    """A directive's condition in one spelling, and whether it is negated."""
+    plain = " ".join(re.sub(r"/\*.*?(?:\*/|$)|//.*", " ", rest, flags=re.S).replace("\\\n", " ").split())
+    if word.endswith("def"):
+        return f"defined {plain}", word.endswith("ndef")
+    plain = re.sub(r"\bdefined\s*\(?\s*(\w+)\s*\)?", r"defined \1", plain)
+    m = re.fullmatch(r"!\s*((?:defined )?\w+)", plain)
+    return (m[1], True) if m else (plain, False)
+
+
+def _c_lines(text: str, truth: dict[str, bool] = _NEVER, forced: dict[int, int] | None = None, others: list | None = None) -> str:
+    """The text with preprocessor lines blanked and one branch of each conditional left.
+
+    It is the first whose condition ``truth`` and the branches taken before don't make false; ``forced`` names branches by
+    the conditional's number. ``others`` receives (truth, forced) for each branch not taken here that can be reached.
+    """
+    out, lines, i, comment, truth, forced, number = [], text.split("\n"), 0, False, dict(truth), forced or {}, 0
+    stack: list[dict] = []
+
+    def enter(condition: tuple[str, bool] | None) -> None:
+        top = stack[-1]
+        top["conditions"].append(condition)
+        at = len(top["conditions"]) - 1
+        if top["number"] in forced:
+            top["live"] = forced[top["number"]] == at
+        else:
+            top["live"] = not top["taken"] and (condition is None or truth.get(condition[0], not condition[1]) != condition[1])
+        top["taken"] |= top["live"]
+        if all(x["live"] for x in stack):
+            if condition is not None and top["number"] not in forced:
+                truth.setdefault(condition[0], not condition[1])
+        elif others is not None:
+            others.append(_c_choice([(x["number"], x["conditions"]) for x in stack]))
+
     while i < len(lines):
         line = lines[i]
         stripped = line.lstrip()
         if not comment and stripped.startswith("#"):
+            whole = stripped
             while lines[i].endswith("\\") and i + 1 < len(lines):
                 i += 1
+                whole += "\n" + lines[i]
             m = re.match(r"#\s*(\w*)", stripped)
-            word = m[1]
+            word, rest = m[1], whole[m.end() :]
             if word and word not in _DIRECTIVES or not word and stripped[1:].strip() and not stripped[1:].lstrip().startswith(("/*", "//")):
-                if not any(stack):
+                if all(x["live"] for x in stack):
                     raise Bad(f"no directive: {stripped[:40]}")
             if word in ("if", "ifdef", "ifndef"):
-                stack.append(False)
+                stack.append({"number": number, "conditions": [], "taken": False})
+                number += 1
+                enter(_c_condition(word, rest))
             elif word in ("elif", "else", "elifdef", "elifndef"):
                 if not stack:
                     raise Bad("else without if")
-                stack[-1] = True
+                enter(None if word == "else" else _c_condition(word, rest))
             elif word == "endif":
                 if not stack:
                     raise Bad("endif without if")
                 stack.pop()
             if "/*" in stripped and "*/" not in stripped[stripped.rfind("/*") :]:
-                out.append("/*")
+                out.append("/*" if all(x["live"] for x in stack) else "")
                 comment = True
             i += 1
             continue
@@ -59,13 +97,39 @@ def _c_lines(text: str) -> str:
             plain = re.sub(r'"(?:[^"\\]|\\.)*"|//.*', "", line) if not comment else line
             opened, closed = plain.rfind("/*"), plain.rfind("*/")
             comment = opened > closed if not comment else closed < 0 or opened > closed
-        out.append("" if any(stack) and not comment else line)
+        out.append(line if all(x["live"] for x in stack) else "")  # a comment holds no directive, so it is in one branch
         i += 1
     if stack:
         raise Bad("if without endif")
     return "\n".join(out)
 
 
+def _c_choice(path: list[tuple[int, list]]) -> tuple[dict, dict] | None:
+    """(truth, forced) that lead to the latest branch of each of the nested conditionals; None if a constant excludes it."""
+    truth, clash = dict(_NEVER), False
+    for _, conditions in path:
+        for k, condition in enumerate(conditions):
+            if condition is None:
+                continue
+            want = (k == len(conditions) - 1) != condition[1]
+            if truth.setdefault(condition[0], want) != want:
+                if condition[0] in _NEVER:
+                    return None
+                clash = True  # names may be redefined between two conditionals
+    return (_NEVER, {n: len(c) - 1 for n, c in path}) if clash else (truth, {})
+
+
+def c_choices(text: str) -> Iterator[str]:
+    """The text with all first branches, then with each other branch; branches of one condition change together."""
+    others: list = []
+    yield _c_lines(text, others=others)
+    seen = []
+    for choice in others:
+        if choice is not None and choice not in seen:
+            seen.append(choice)
+            yield _c_lines(text, *choice)
+
+
 def tokens(language: str, text: str) -> list[tuple[str, str]]:
     """(kind, text): i identifier, n number, s string, c character, l lifetime, o operator; Go gets its semicolons."""
     out: list[tuple[str, str]] = []
@@ -662,18 +726,17 @@ def _balanced(toks) -> None:
 def statement_error(language: str, text: str) -> str | None:
     """Why a file does not parse, or None."""
     try:
-        if language == "c":
-            text = _c_lines(text)
-        elif language == "rust" and text.startswith("#!") and not text.startswith("#!["):
+        if language == "rust" and text.startswith("#!") and not text.startswith("#!["):
             text = text.partition("\n")[2]
-        toks = tokens(language, text)
-        _balanced(toks)
-        if language == "c":
-            _c_block(toks, 0, len(toks), top=True)
-        elif language == "go":
-            _go_file(toks)
-        else:
-            _rust_items(toks, 0, len(toks))
+        for chosen in c_choices(text) if language == "c" else (text,):
+            toks = tokens(language, chosen)
+            _balanced(toks)
+            if language == "c":
+                _c_block(toks, 0, len(toks), top=True)
+            elif language == "go":
+                _go_file(toks)
+            else:
+                _rust_items(toks, 0, len(toks))
     except Bad as e:
         return str(e)
     except RecursionError:

@@ -11,7 +11,9 @@
    operators, what may stand before ';', '{' and '}', and which declarations a file may hold). Of Python an exact parse
    of the whole file confirms what the first two steps found.
 
-C follows the first branch of a preprocessor conditional. Null content, empty files and files of other extensions are
+C is parsed with the first branches of its preprocessor conditionals, then once more for each other branch with the text
+around it; brackets of a file with such branches are judged in these parses. Branches of one condition change together,
+and what ``#if 0`` or the rest of ``#if 1`` excludes is no code. Null content, empty files and files of other extensions are
 not judged (a null or empty file parses). Rows that repeat a path count once; it is flagged if any of its rows fails.
 """
 

@@ -51,6 +51,26 @@ def test_grammars(language):
         assert fails(language, text), text
 
 
+def test_every_branch_of_c_is_judged():
+    good = [
+        "#if 0\nold (junk\n#else\nint f(void) { return 1; }\n#endif\n",
+        "#ifdef A\nint f(void) { {\n#else\nint f(long a) {\n#endif\n  g();\n#ifndef A\n}\n#else\n} }\n#endif\n",
+        "#if A\nint a;\n#elif defined(B) && \\\n  C\nint b; /* one\n two */ int c;\n#else /* three\n four */\nint d;\n#endif\n",
+        "#ifdef A\nint a;\n#else\n#ifdef B\nint b;\n#else\nint c;\n#endif\n#endif\n",
+    ]
+    for text in good:
+        assert not fails("c", text), text
+    broken = [
+        "#if 0\nint f(void) { return 1; }\n#else\nint f(void) { return 1;\n#endif\n",
+        "#ifdef A\nint a;\n#elif B\nint f(void) { if }\n#else\nint c;\n#endif\n",
+        "int x;\n#ifdef A\nint a;\n#else\n<<<<<<< HEAD\nint b;\n=======\nint c;\n>>>>>>> x\n#endif\n",
+        "#ifdef A\nint a;\n#else\n#ifdef B\nint b\n#else\nint c;\n#endif\n#endif\n", "#ifdef A\nint a;\n#else\n#ifdef B\nint b;\n#else\nint c = (;\n#endif\n#endif\n",
+        "#ifdef A\n#undef A\n#ifdef A\nint a;\n#else\nint b = (;\n#endif\n#endif\n",
+    ]
+    for text in broken:
+        assert fails("c", text), text
+
+
 def test_python_statements_against_the_interpreter():
     base = open(syntax.__file__).read()
     assert not fails("python", base)
