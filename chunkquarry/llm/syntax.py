@@ -3,7 +3,8 @@
 1. A file is taken in blocks of whole lines. Of each block a *lexer-state map* is made: for every state a block can be
    entered in (code, inside a block comment, a raw or a multi-line string) the state it is left in and a *bracket
    summary*, the brackets it leaves unmatched (closing ones, then opening ones). The first block of a file has only
-   one possible entry state.
+   one possible entry state. Comments nested deeper and raw strings with more hashes than ``_STATES`` lists are mapped
+   too where a block is entered in them.
 2. Maps compose associatively: exit state into entry state, and summaries by cancelling an opening against a closing
    bracket. They are reduced per file after a shuffle of nothing but maps.
 3. Files that close everything are cut into balanced statements, and each statement is parsed with a local grammar:
@@ -70,16 +71,17 @@ def lex(language: str, text: str, state: str) -> tuple[str, str | None, bool]:
                     pos = m.end()
                     depth += 1 if m[0] == "/*" and language == "rust" else -1 if m[0] == "*/" else 0
                 if depth:
-                    return f"B{min(depth, 3)}", None if bad else "".join(stack), alternatives
+                    return f"B{depth}", None if bad else "".join(stack), alternatives
             elif state in _ENDS and state != '"#':
                 if not (m := _ENDS[state].match(text, pos)):
                     return state, None if bad else "".join(stack), alternatives
                 pos = m.end()
             else:
-                end = text.find(state, pos)
+                close = state.removeprefix("r")
+                end = text.find(close, pos)
                 if end < 0:
                     return state, None if bad else "".join(stack), alternatives
-                pos = end + len(state)
+                pos = end + len(close)
             state = "N"
         if not (m := find(text, pos)):
             return "N", None if bad else "".join(stack), alternatives
@@ -94,11 +96,7 @@ def lex(language: str, text: str, state: str) -> tuple[str, str | None, bool]:
         elif token in ("'''", '"""', "`") or token == '"' and language == "rust":
             state = token
         elif language == "rust" and token.endswith('"') and m.group("raw") is not None:
-            state = '"' + m.group("raw")
-            if state == '"':  # r"..." has no escapes
-                end = text.find('"', pos)
-                if end >= 0:
-                    pos, state = end + 1, "N"
+            state = '"' + m.group("raw") if m.group("raw") else 'r"'  # r"..." has no escapes
         elif token in ("'", '"'):
             bad = True  # a string or character that ends in another line
         elif language == "c" and m.group("alt"):
@@ -124,9 +122,12 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "text"))):
             blocks = list(_blocks(text.replace("\r\n", "\n")))
+            state = "N"  # in which a block is entered indeed: comments nest and raw strings are fenced to any depth
             for i, block in enumerate(blocks):
-                for entry in _STATES[language] if i else ("N",):
-                    rows.append((path, len(blocks), i, entry, *lex(language, block, entry)))
+                listed = _STATES[language] if i else ("N",)
+                exits = {entry: lex(language, block, entry) for entry in dict.fromkeys((*listed, state))}
+                rows.extend((path, len(blocks), i, entry, *found) for entry, found in exits.items())
+                state = exits[state][0]
         types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 

@@ -108,3 +108,13 @@ def test_files(spark):
     rates = {(r.repo, r.language): (r.files, r.invalid) for r in syntax.error_rates(df).collect()}
     assert rates == {("r", "python"): (3, 1), ("r", "c"): (1, 1), ("r", "go"): (1, 0), ("r", "rust"): (1, 1)}
     assert syntax.invalid_files(df.limit(0)).collect() == []
+
+
+def test_blocks_cut_inside_deep_states(spark):
+    inside = "    { not code \" ' \n" * 3000  # more than one block
+    cases = {"hashes": ('const A: &str = r####"', '"### "####;'), "deep": ("/* /* /* /* /* ", "*/ { */ */ ( */ } */"), "raw": ('const A: &str = r"', '";')}
+    rows = [(f"r/{k}{i}.rs", a + "\n" + (inside.replace('"', "") + "\\\n" if k == "raw" else inside) + b + tail) for k, (a, b) in cases.items() for i, tail in enumerate(("\nfn f() {}\n", "\nfn f() {\n", "\nfn f() {}\n/*"))]
+    assert all(len(list(syntax._blocks(text))) > 1 for _, text in rows)
+    rows.append(("r/open.rs", rows[0][1].replace('"####', '"###')))
+    df = spark.createDataFrame(rows, "path string, content string")
+    assert {r.path for r in syntax.invalid_files(df).collect()} == {f"r/{k}{i}.rs" for k in cases for i in (1, 2)} | {"r/open.rs"}
