@@ -205,12 +205,14 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """repo, language, n_tokens of every chunk; methods that their Python class row holds already are left out."""
+    """repo, language, n_tokens of every chunk; Python chunks that the class row of their parent holds already are left out."""
     chunks = table(spark, sf, "chunks").where("chunk_no is not null and source is not null")
     language = F.coalesce(language_of(F.col("file_path")), tokens.plain_language(F.col("language")))
-    items = chunks.select("chunk_no", repo_of(F.col("file_path")).alias("source"), language.alias("language"), "parent_name", F.col("source").alias("text"))
+    items = chunks.select("chunk_no", repo_of(F.col("file_path")).alias("source"), language.alias("language"), "file_path", "parent_name", F.col("source").alias("text"))
     counted = tokens.token_counts(items).dropDuplicates(["chunk_no"])
-    return counted.where("language is distinct from 'python' or parent_name is null")
+    classes = chunks.where("lower(trim(chunk_type)) = 'class'").groupBy("file_path", F.col("name").alias("parent_name")).agg(F.min("chunk_no").alias("first"), F.max("chunk_no").alias("last"))
+    held = F.expr("language <=> 'python' and (first <> chunk_no or last <> chunk_no)")  # a class doesn't hold itself
+    return counted.join(classes, ["file_path", "parent_name"], "left").where(~F.coalesce(held, F.lit(False))).select("chunk_no", "source", "language", "n_tokens")
 
 
 def _document_tokens(spark: SparkSession, sf: str) -> DataFrame:

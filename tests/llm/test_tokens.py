@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chunkquarry.llm import tokens
+from chunkquarry.llm import queries, tokens
 
 tiktoken = pytest.importorskip("tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,3 +54,15 @@ def test_frames(spark, monkeypatch):
     cube = {(r.language, r.level): (r["items"], r.tokens) for r in tokens.cube(tokens.token_counts(df.limit(3)), ["language"]).collect()}
     assert cube[None, 1][0] == 3 and cube["(none)", 0] == (1, 0)
     assert tokens.token_counts(df.limit(0)).collect() == []
+
+
+def test_methods_without_a_counted_class_row_are_counted(spark, tmp_path):
+    rows = [
+        (1, "r/a.py", "Class", "A", None, "class A:\n    def f(self): pass"), (2, "r/a.py", "method", "f", "A", "def f(self): pass"),
+        (3, "r/b.py", "method", "f", "A", "def f(self): pass"), (4, "r/c.py", "class", "A", None, None), (5, "r/c.py", "method", "f", "A", "def f(self): pass"),
+        (6, "r/d.py", "class", "A", "A", "class A: pass"), (7, "r/e.py", "function", "A", None, "def A(): pass"), (8, "r/e.py", "method", "f", "A", "def f(self): pass"),
+        (9, None, "method", "f", "A", "def f(self): pass"),
+    ]
+    df = spark.createDataFrame([(*r, "python") for r in rows + rows[:2]], "chunk_no long, file_path string, chunk_type string, name string, parent_name string, source string, language string")
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {r.chunk_no for r in queries._chunk_tokens(spark, str(tmp_path)).collect()} == {1, 3, 5, 6, 7, 8, 9}
