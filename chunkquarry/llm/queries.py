@@ -179,7 +179,8 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Defective answers with their defect."""
-    return replies.defects(table(spark, sf, "response_pairs"), replies.fit(table(spark, sf, "documents")))
+    pairs = table(spark, sf, "response_pairs")
+    return replies.defects(pairs, replies.fit(table(spark, sf, "documents"), pairs))
 
 
 @query
