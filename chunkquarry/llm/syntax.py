@@ -2,11 +2,12 @@
 
 1. A file is taken in blocks of whole lines. Of each block a *lexer-state map* is made: for every state a block can be
    entered in (code, inside a block comment, a raw or a multi-line string) the state it is left in and a *bracket
-   summary*, the brackets it leaves unmatched (closing ones, then opening ones). The first block of a file has only
-   one possible entry state. Comments nested deeper and raw strings with more hashes than ``_STATES`` lists are mapped
-   too where a block is entered in them.
+   summary*, the brackets it leaves unmatched (closing ones, then opening ones). A file of one block has one entry state
+   only, and is judged where it is read. Comments nested deeper and raw strings with more hashes than ``_STATES`` lists are
+   mapped too where a block is entered in them.
 2. Maps compose associatively: exit state into entry state, and summaries by cancelling an opening against a closing
-   bracket. They are reduced per file after a shuffle of nothing but maps.
+   bracket. The maps of larger files are shuffled (never their texts) and reduced as a tree: each level composes runs of
+   ``FAN`` neighbours to one map, so no group holds more than ``FAN`` maps however large a file is.
 3. Files that close everything are cut into balanced statements, and each statement is parsed with a local grammar:
    Python's own for a top-level statement of Python, token grammars for C, Go and Rust (the alternation of operands and
    operators, what may stand before ';', '{' and '}', and which declarations a file may hold). Of Python an exact parse
@@ -25,16 +26,15 @@ import re
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.tables import language_of, repo_of
 from .grammars import statement_error
 
 BLOCK = 32_768
+FAN = 64
 _STATES = {"python": ("N", "'''", '"""'), "c": ("N", "B1"), "go": ("N", "B1", "`"), "rust": ("N", "B1", "B2", "B3", '"', '"#', '"##', '"###')}
 _NEXT = {
     "python": re.compile(r"""#[^\n]*|'''|\"\"\"|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|['"]|[()\[\]{}]""", re.S),
@@ -113,48 +113,72 @@ def _blocks(text: str) -> Iterator[str]:
         at = end
 
 
-_MAP = "path string, blocks int, block int, entry string, exit string, brackets string, branches boolean"
+_MAP = "key string, block int, entry string, exit string, brackets string, branches boolean"
+_MAP_SCHEMA = pa.schema([("key", pa.string()), ("block", pa.int32()), ("entry", pa.string()), ("exit", pa.string()), ("brackets", pa.string()), ("branches", pa.bool_())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def block_maps(language: str, text: str) -> list[tuple[int, str, str, str | None, bool]]:
+    """(block, entry, exit, brackets, branches) of all blocks of a text and all states they may be entered in."""
+    out, state = [], "N"  # the state a block is entered in indeed: comments nest and raw strings are fenced to any depth
+    for i, block in enumerate(_blocks(text.replace("\r\n", "\n"))):
+        exits = {entry: lex(language, block, entry) for entry in dict.fromkeys((*(_STATES[language] if i else ("N",)), state))}
+        out.extend((i, entry, *found) for entry, found in exits.items())
+        state = exits[state][0]
+    return out
+
+
+def compose(maps: list[tuple]) -> list[tuple[str, str, str | None, bool]]:
+    """The maps (block, entry, exit, brackets, branches) of neighbouring blocks as one: (entry, exit, brackets, branches).
+
+    An entry state that leads to a state the next block has no map for is left out: no file is read that way.
+    """
+    by: dict[int, dict[str, tuple]] = {}
+    for block, entry, *rest in maps:
+        by.setdefault(block, {})[entry] = tuple(rest)
+    first, *others = (by[k] for k in sorted(by))
+    out = []
+    for entry, (state, summary, branches) in first.items():
+        for block in others:
+            if state not in block:
+                break
+            state, brackets, more = block[state]
+            summary = None if summary is None or brackets is None else cancel(summary, brackets)
+            branches = branches or more
+        else:
+            out.append((entry, state, summary, branches))
+    return out
+
+
+def closes(exit_state: str, brackets: str | None, branches: bool) -> bool:
+    """Whether a file with this map closes everything; the brackets of C with several branches are judged by branch."""
+    return exit_state == "N" and (brackets == "" or branches)
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _MAP.split(", ")]
     for batch in batches:
-        rows: list[tuple] = []
-        for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "text"))):
-            blocks = list(_blocks(text.replace("\r\n", "\n")))
-            state = "N"  # in which a block is entered indeed: comments nest and raw strings are fenced to any depth
-            for i, block in enumerate(blocks):
-                listed = _STATES[language] if i else ("N",)
-                exits = {entry: lex(language, block, entry) for entry in dict.fromkeys((*listed, state))}
-                rows.extend((path, len(blocks), i, entry, *found) for entry, found in exits.items())
-                state = exits[state][0]
-        types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
-
-
-def compose(maps: list) -> bool:
-    """Whether a file closes everything: its maps (block, entry, exit, brackets, branches) composed in the order of blocks."""
-    by = {(m["block"], m["entry"]): m for m in maps}
-    state, summary, branches = "N", "", False
-    for i in range(max(b for b, _ in by) + 1):
-        m = by[i, state]
-        state = m["exit"]
-        branches |= bool(m["branches"])
-        summary = None if summary is None or m["brackets"] is None else cancel(summary, m["brackets"])
-    return state == "N" and (summary == "" or branches)
-
-
-@F.pandas_udf(T.BooleanType())
-def _composed(maps: pd.Series) -> pd.Series:
-    return pd.Series([compose(list(m)) if m is not None and len(m) else None for m in maps], dtype=object)
-
-
-def _closed(maps: DataFrame) -> DataFrame:
-    """path, closed. The one map of a file of one block is its result; others are composed in their order."""
-    alone = (F.col("exit") == "N") & (F.coalesce(F.col("brackets") == "", F.lit(False)) | F.col("branches"))
-    several = F.when(F.col("blocks") > 1, F.struct("block", "entry", "exit", "brackets", "branches"))
-    files = maps.groupBy("path").agg(F.max("blocks").alias("blocks"), F.bool_or(alone).alias("alone"), F.collect_set(several).alias("maps"))
-    return files.select("path", F.when(F.col("blocks") == 1, F.col("alone")).otherwise(_composed("maps")).alias("closed"))
+        for key, language, text in zip(*(batch.column(c).to_pylist() for c in ("key", "language", "text"))):
+            yield _rows([(key, *m) for m in block_maps(language, text)], _MAP_SCHEMA)
+
+
+def _composed(group: pa.Table) -> pa.Table:
+    """One level of the tree: the maps of a run of blocks as those of one."""
+    cols = [group.column(c).to_pylist() for c in ("block", "entry", "exit", "brackets", "branches")]
+    key, run = group.column("key")[0].as_py(), cols[0][0] // FAN
+    return pa.Table.from_batches([_rows([(key, run, *m) for m in compose(list(zip(*cols)))], _MAP_SCHEMA)])
+
+
+def reduced(maps: DataFrame, levels: int = 3) -> DataFrame:
+    """The map of each key's whole text, by a tree of ``levels`` levels.
+
+    Two neighbouring blocks hold more than BLOCK characters, so the longest string there can be (2 GB) has fewer than FAN ** 3.
+    """
+    for _ in range(levels):
+        maps = maps.groupBy("key", F.expr(f"block div {FAN}")).applyInArrow(_composed, _MAP)
+    return maps
 
 
 _CONTINUES = re.compile(r"(?:else|elif|except|finally)\b|[)\]}]")
@@ -219,9 +243,18 @@ def file_fails(language: str, text: str, closed: bool) -> bool:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files of one block, whose map is known at once."""
+    for batch in batches:
+        fails = []
+        for language, text in zip(*(batch.column(c).to_pylist() for c in ("language", "text"))):
+            ((_, _, *only),) = block_maps(language, text)
+            fails.append(file_fails(language, text, closes(*only)))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(fails, pa.bool_())], names=["path", "fails"])
+
+
+def _judge_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("path", "language", "text", "closed")]
-        fails = [file_fails(language, text, closed) for _, language, text, closed in zip(*cols)]
+        fails = [file_fails(language, text, closed) for language, text, closed in zip(*(batch.column(c).to_pylist() for c in ("language", "text", "closed")))]
         yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(fails, pa.bool_())], names=["path", "fails"])
 
 
@@ -229,11 +262,13 @@ def invalid_files(files: DataFrame) -> DataFrame:
     """path of each file (path, content; other columns ignored) that does not parse in its extension's language."""
     known = files.select("path", language_of(F.col("path")).alias("language"), F.col("content").alias("text"))
     known = known.where("language is not null and length(text) > 0")
-    numbered = known.withColumn("version", F.xxhash64("text"))
-    key = F.concat_ws("|", F.col("path"), F.col("version"))
-    maps = numbered.select(key.alias("path"), "language", "text").mapInArrow(_maps, _MAP)
-    again = numbered.select(key.alias("key"), "path", "language", "text").join(_closed(maps).withColumnRenamed("path", "key"), "key")
-    return again.select("path", "language", "text", "closed").mapInArrow(_judge, "path string, fails boolean").where("fails").select("path").distinct()
+    small = known.where(F.length("text") <= BLOCK).mapInArrow(_judge, "path string, fails boolean")
+    large = known.where(F.length("text") > BLOCK).withColumn("key", F.concat_ws("|", "path", F.xxhash64("text"), F.length("text")))
+    maps = large.select("key", "language", "text").mapInArrow(_maps, _MAP)
+    closed = F.expr("exit = 'N' and (coalesce(brackets = '', false) or branches)")
+    whole = reduced(maps).where("entry = 'N'").groupBy("key").agg(F.bool_and(closed).alias("closed"))
+    judged = large.join(whole, "key").select("path", "language", "text", "closed").mapInArrow(_judge_large, "path string, fails boolean")
+    return small.unionByName(judged).where("fails").select("path").distinct()
 
 
 def error_rates(files: DataFrame) -> DataFrame:

@@ -118,3 +118,27 @@ def test_blocks_cut_inside_deep_states(spark):
     rows.append(("r/open.rs", rows[0][1].replace('"####', '"###')))
     df = spark.createDataFrame(rows, "path string, content string")
     assert {r.path for r in syntax.invalid_files(df).collect()} == {f"r/{k}{i}.rs" for k in cases for i in (1, 2)} | {"r/open.rs"}
+
+
+def test_runs_of_maps_compose_in_any_grouping(monkeypatch):
+    rng = random.Random(6)
+    parts = ["/*", "*/", 'r#"', '"#', "{", "}", "(", ")", "\n", '"', "'a", "\n"]
+    monkeypatch.setattr(syntax, "BLOCK", 9)
+    for _ in range(100):
+        text = "".join(rng.choice(parts) + rng.choice(["", " x ", "\n"]) for _ in range(20)) + "\n"
+        maps = syntax.block_maps("rust", text)
+        n = max(m[0] for m in maps) + 1
+        whole = [m for m in syntax.compose(maps) if m[0] == "N"]
+        at = sorted({0, n, *(rng.randrange(n + 1) for _ in range(3))})
+        runs = [(k, *m) for k, (a, b) in enumerate(zip(at, at[1:])) for m in syntax.compose([x for x in maps if a <= x[0] < b])]
+        assert [m for m in syntax.compose(runs) if m[0] == "N"] == whole and len(whole) == 1
+
+
+def test_large_files(spark):
+    """Several hundred blocks, so that more than one level of the tree composes; an open bracket in a later branch of C."""
+    line = "static int f%d(int x) { return x + (1); } /* { */\n"
+    body = "".join(line % i for i in range(70_000))
+    assert len(list(syntax._blocks(body))) > syntax.FAN
+    rows = [("r/good.c", body), ("r/open.c", body + "int g(void) {\n"), ("r/close.c", "}\n" + body), ("r/branch.c", "#ifdef A\nint a;\n#else\nint b(void) {\n#endif\n" + body[: 3 * syntax.BLOCK].rsplit("\n", 1)[0] + "\n")]
+    df = spark.createDataFrame(rows, "path string, content string")
+    assert {r.path for r in syntax.invalid_files(df).collect()} == {"r/open.c", "r/close.c", "r/branch.c"}
