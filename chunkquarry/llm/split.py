@@ -1,14 +1,14 @@
 """Splitting oversized items at natural boundaries.
 
 A text larger than the limit is cut along a hierarchy of separators: section (a blank line followed by a line that
-is not indented), paragraph (a blank line), line, sentence, word. Parts that fit are packed greedily into pieces;
-a part that does not fit is cut by the next finer separator. Each piece but the first begins with an overlap: the
-longest run of whole parts from the end of the piece before that has at most ``overlap`` words, or that many words
-where even the last part is longer. A piece is a stretch of the text and never has more words than the limit; in unit
-``char`` the last separator is the character, so a single word over the limit is cut too. The pieces cover the text:
-where a piece begins after the end of the last one, only blanks lie between.
-
-Null, empty and blank texts, and texts within the limit, give no pieces.
+is not indented), paragraph (a blank line), line, sentence, word and, where the unit is the character, character. Parts
+that fit are packed greedily into pieces; a part that does not fit is cut by the next finer separator. Each piece but the
+first begins with an overlap: the longest run of whole parts from the end of the piece before that has at most ``overlap``
+units, or that many units where even the last part is longer. A piece is a stretch of the text and never has more units
+than the limit. The pieces cover the text: where a piece begins after the end of the last one, only blanks lie between.
+
+In unit ``word`` sizes count words, and a word, however long, is never cut; in unit ``char`` they count characters with the
+blanks between words. Null, empty and blank texts, and texts within the limit, give no pieces.
 """
 
 from __future__ import annotations
@@ -32,13 +32,16 @@ SEPARATORS = (
 )
 
 
-def _parts(text: str, begin: int, end: int, starts: list[int], limit: int, level: int, out: list[tuple[int, int, int]]) -> None:
-    """Append (first word, end word, level) of the parts of words begin..end, none over the limit."""
+def _parts(text: str, begin: int, end: int, starts, limit: int, level: int, before: int, out: list[tuple[int, int, int]]) -> None:
+    """Append (first unit, end unit, separator before it) of the parts of units begin..end, none over the limit.
+
+    ``starts``: where units begin; separators are numbered from 1, 0 stands for the beginning of the text.
+    """
     if end - begin <= limit:
-        out.append((begin, end, level))
+        out.append((begin, end, before))
         return
-    if level == len(SEPARATORS) - 1:
-        out.extend((i, i + 1, level if i == begin else level + 1) for i in range(begin, end))
+    if level == len(SEPARATORS):
+        out.extend((i, i + 1, before if i == begin else level + 1) for i in range(begin, end))
         return
     low, high = starts[begin], starts[end] if end < len(starts) else len(text)
     cuts, last = [begin], begin
@@ -49,17 +52,23 @@ def _parts(text: str, begin: int, end: int, starts: list[int], limit: int, level
             last = i
     cuts.append(end)
     for a, b in zip(cuts, cuts[1:]):
-        _parts(text, a, b, starts, limit, level + 1, out)
+        _parts(text, a, b, starts, limit, level + 1, before if a == begin else level + 1, out)
+
 
+_BOUNDARIES = ("start", *(name for name, _ in SEPARATORS), "char")
 
-def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, boundary) of the pieces of a text of more than ``limit`` words; boundary: the separator before it."""
-    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    if len(words) <= limit:
+
+def pieces(text: str, limit: int, overlap: int, unit: str = "word") -> list[tuple[int, int, int, str]]:
+    """(start, end, units, boundary) of the pieces of a text over the limit; boundary: the separator before the piece."""
+    if unit == "word":
+        words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        starts, ends = [a for a, _ in words], [b for _, b in words]
+    else:
+        starts, ends = range(len(text)), range(1, len(text) + 1)
+    if len(starts) <= limit:
         return []
-    starts = [a for a, _ in words]
     parts: list[tuple[int, int, int]] = []
-    _parts(text, 0, len(words), starts, limit, 0, parts)
+    _parts(text, 0, len(starts), starts, limit, 0, 0, parts)
     begins = [p[0] for p in parts]
     out, first, i = [], 0, 0
     while i < len(parts):
@@ -71,8 +80,9 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str
             continue
         stop = parts[j][1]
         at = bisect_left(begins, first)
-        level = parts[at][2] if begins[at] == first else len(SEPARATORS)
-        out.append((words[first][0], words[stop - 1][1], stop - first, SEPARATORS[level - 1][0] if first else "start"))
+        inner = len(SEPARATORS) + (unit == "char")  # an overlap that begins inside a part
+        before = parts[at][2] if at < len(begins) and begins[at] == first else inner
+        out.append((starts[first], ends[stop - 1], stop - first, _BOUNDARIES[before]))
         i = j + 1
         if i < len(parts):
             room = min(overlap, limit - (parts[i][1] - parts[i][0]))
@@ -82,33 +92,12 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str
     return out
 
 
-def char_pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """The same for a limit in characters: by words while they fit, a longer word by characters."""
-    if len(text) <= limit:
-        return []
-    out, first = [], 0
-    while True:
-        end = min(first + limit, len(text))
-        if end < len(text):
-            for _, sep in SEPARATORS:
-                cut = max((m.start() for m in sep.finditer(text, first + 1, end + 1) if m.start() > first + overlap), default=0)
-                if cut:
-                    end = cut
-                    break
-        out.append((first, end, end - first, "char"))
-        if end == len(text):
-            return out
-        first = max(end - overlap, first + 1)
-
-
 def _split(limit: int, overlap: int, unit: str):
-    cut = pieces if unit == "word" else char_pieces
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: dict[str, list] = {c: [] for c in ("rec", "piece_no", "start", "end", "size", "boundary", "widest_line", "piece")}
             for rec, text in zip(batch.column("rec").to_pylist(), batch.column("text").to_pylist()):
-                found = cut(text, limit, overlap)
+                found = pieces(text, limit, overlap, unit)
                 widest = max((len(WORD.findall(x)) for x in text.split("\n")), default=0) if found else 0
                 for i, (a, b, n, boundary) in enumerate(found):
                     for c, v in zip(cols, (rec, i, a, b, n, boundary, widest, text[a:b])):
@@ -130,8 +119,6 @@ def split_oversized(items: DataFrame, limit: int, overlap: int, unit: str = "wor
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap has to be less than the limit")
-    least = 2 * limit + 1 if unit == "word" else limit + 1  # so many characters hold more than limit words
+    least = 2 * limit + 1 if unit == "word" else limit + 1  # fewer characters can't hold more than limit words
     large = items.select("rec", "text").where(F.col("rec").isNotNull() & (F.length("text") >= least))
-    if unit == "word":
-        large = large.where(F.size(F.split(F.trim(F.col("text")), r"\s+")) > limit - 2)
     return large.dropDuplicates(["rec"]).mapInArrow(_split(limit, overlap, unit), "rec long, piece_no int, start int, end int, size int, boundary string, widest_line int, piece string")

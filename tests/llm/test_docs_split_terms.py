@@ -122,15 +122,32 @@ def test_natural_boundaries():
     text = "\n\n".join(" ".join(["w"] * 8) for _ in range(6))
     assert [n for _, _, n, _ in split.pieces(text, 17, 0)] == [16, 16, 16]
     assert all(b in ("start", "section", "paragraph") for *_, b in split.pieces(text, 17, 0))
-    assert len(split.char_pieces("x" * 1000, 300, 10)) == 4 and split.char_pieces("x" * 300, 300, 10) == []
+    assert [b for *_, b in split.pieces("a b c. d e f\n\ng h\ni", 3, 0)] == ["start", "sentence", "section"]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_pieces_by_characters(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["word ", "x" * rng.randrange(1, 60), ". ", "\n", "\n\n", "\n\n  ", "é\u3000"]) for _ in range(200))
+    limit, overlap = rng.randrange(20, 80), rng.randrange(0, 20)
+    got = split.pieces(text, limit, overlap, "char")
+    covered = 0
+    for i, (a, b, n, boundary) in enumerate(got):
+        assert n == b - a <= limit and a <= covered
+        assert not i or (b > covered and covered - a <= max(overlap, 0) and a > got[i - 1][0])
+        covered = b
+    assert covered == len(text)
+    assert len(split.pieces("x" * 1000, 300, 10, "char")) == 4 and split.pieces("x" * 300, 300, 10, "char") == []
+    paragraphs = split.pieces("aaaa bbbb\n\ncccc dddd\n\neeee ffff", 12, 0, "char")
+    assert [b for *_, b in paragraphs] == ["start", "section", "section"]
 
 
 def test_split_frame(spark):
-    rows = [(1, "a " * 400), (1, "a " * 400), (2, "a " * 300), (3, None), (4, ""), (5, "x\n" + "b " * 301), (None, "a " * 900)]
+    rows = [(6, "a\u3000" * 400), (7, "a\u00a0b\u2003" * 200), (1, "a " * 400), (1, "a " * 400), (2, "a " * 300), (3, None), (4, ""), (5, "x\n" + "b " * 301), (None, "a " * 900)]
     df = spark.createDataFrame([(*r, 3) for r in rows], "rec long, text string, piece_no int")
     out = split.split_oversized(df, 300, 30).collect()
-    assert {r.rec for r in out} == {1, 5} and len(out) == len({(r.rec, r.piece_no) for r in out})
-    assert {r.rec: r.widest_line for r in out} == {1: 400, 5: 301}
+    assert {r.rec for r in out} == {1, 5, 6, 7} and len(out) == len({(r.rec, r.piece_no) for r in out})
+    assert {r.rec: r.widest_line for r in out} == {1: 400, 5: 301, 6: 400, 7: 400}
     assert split.split_oversized(df.limit(0), 300, 30).collect() == []
     with pytest.raises(ValueError):
         split.split_oversized(df, 30, 30)
