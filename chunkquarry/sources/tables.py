@@ -8,32 +8,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARED_DIR = "spark.checkpoint.dir"
+#: "true" spreads small tables over the cores: for benches on one machine, whose tables are one file each.
+SPREAD = "spark.chunkquarry.spread"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """One table of a data directory.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a data directory, read as it lies.
 
-    A table of fewer splits than there are cores (a small file is one split) is spread over the cores; its rows then come
-    in no fixed order. Larger tables are read as they lie.
+    Only where ``spark.chunkquarry.spread`` is "true", a table of fewer splits than cores is spread over these.
     """
     rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spark.conf.get(SPREAD, "false") != "true":
+        return rows
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if spread and 1 <= rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if 1 <= rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Set the folder that checkpoint() writes to.
+    """Set the folder that checkpoint() writes to: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a folder below the warehouse directory is used.
+    Where it is unset, a folder below the warehouse directory serves on one machine; on a cluster that is an error, since
+    no folder of a single machine outlives its executors.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get(SHARED_DIR, None)
+    if named is None and not sc.master.split("[")[0] == "local":
+        raise ValueError(f"{SHARED_DIR} has to name a folder that all executors share")
     sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name in the file system its path names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path names a folder there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(at) and files.getFileStatus(at).isDirectory()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_dir
+from ..sources.tables import exists, is_folder, shared_dir
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -27,7 +27,7 @@ def channel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
-    return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
@@ -39,7 +39,7 @@ def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append
         writer.format("parquet").option("path", out).start().awaitTermination()
     else:  # the last complete result stands; a repeated batch overwrites its own
         writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out) if os.path.isdir(out.removeprefix("file:")) or "://" in out else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out) if exists(spark, out) else spark.createDataFrame([], stream.schema)
 
 
 def windowed_counts(events: DataFrame, minutes: int = 60, late: str = "7 days") -> DataFrame:

@@ -66,9 +66,13 @@ def test_streams_in_several_batches(spark, tmp_path):
     assert json.dumps({}) == "{}"
 
 
-def test_small_tables_are_spread(spark, tmp_path):
+def test_small_tables_are_spread_only_on_demand(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
-    rows = tables.table(spark, str(tmp_path), "t")
-    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.count() == 100
-    assert tables.table(spark, str(tmp_path), "t", spread=False).rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-    assert tables.buckets_for(rows) >= 48
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.table(spark, str(tmp_path), "t").rdd.getNumPartitions() < cores
+    spark.conf.set(tables.SPREAD, "true")
+    try:
+        assert tables.table(spark, str(tmp_path), "t").rdd.getNumPartitions() == cores
+    finally:
+        spark.conf.unset(tables.SPREAD)
+    assert tables.exists(spark, str(tmp_path / "t.parquet")) and tables.is_folder(spark, str(tmp_path)) and not tables.exists(spark, str(tmp_path / "x"))
