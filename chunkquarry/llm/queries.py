@@ -22,13 +22,7 @@ def query(f: Query) -> Query:
 
 
 def _span_records(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.span_records(*(table(spark, sf, t, spread=False) for t in ("chunks", "patterns")))  # in the order of the files
-
-
-@query
-def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Records that share a run of 200 or more characters with a record elsewhere."""
-    return spans.shared_spans(_span_records(spark, sf), positions=False).select(*spans.rec_columns())
+    return spans.span_records(*(table(spark, sf, t) for t in ("chunks", "patterns")))
 
 
 @query
@@ -39,6 +33,12 @@ def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*spans.rec_columns(), covered.alias("covered_chars"), F.size("starts").alias("n_spans"), "starts", "lengths")
 
 
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that share a run of 200 or more characters with a record elsewhere."""
+    return p1_coverage(spark, sf).select("rec_kind", "rec_no")
+
+
 @query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Terms that only one record holds, or more than 2 % of all."""

@@ -20,17 +20,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The session's setting that names another one.
+SETTING = "spark.chunkquarry.vocabulary"
 FLUSH_CHARS = 2_000_000
 CACHE = 1 << 19
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+def read_ranks(path: str, spark: SparkSession | None = None) -> dict[bytes, int]:
+    """Tokens and ranks of a vocabulary file; a path with a scheme is read through Spark, another one on the driver."""
+    if spark is not None and "://" in path:
+        whole = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])  # a vocabulary is a few MB
+    else:
+        with open(path, "rb") as f:
+            whole = f.read()
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in whole.splitlines() if line.strip())}
 
 
 class Counter:
@@ -237,11 +244,15 @@ def _counting(ranks_handle, key: str, passed: list[str]):
     return run
 
 
-def token_counts(items: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The items (text string and any other columns) with n_tokens in place of text."""
+def token_counts(items: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The items (text string and any other columns) with n_tokens in place of text.
+
+    The vocabulary is the one given, else the one of the setting ``spark.chunkquarry.vocabulary``, else ``VOCABULARY``.
+    """
+    spark = items.sparkSession
     passed = [f for f in items.schema.fields if f.name not in ("text", "n_tokens")]
-    ranks = read_ranks(vocabulary)
-    handle = items.sparkSession.sparkContext.broadcast(ranks)
+    ranks = read_ranks(vocabulary or spark.conf.get(SETTING, VOCABULARY), spark)
+    handle = spark.sparkContext.broadcast(ranks)
     key = hashlib.blake2b(repr(sorted(ranks.items())).encode()).hexdigest()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed)
     return items.select("text", *[f.name for f in passed]).mapInArrow(_counting(handle, key, [f.name for f in passed]), f"{schema}, n_tokens long" if schema else "n_tokens long")
