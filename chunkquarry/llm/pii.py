@@ -1,12 +1,16 @@
 """Personal information inside free text: weak labelers, expectation-maximisation, a span classifier, placeholders.
 
-Candidates of each kind come from generous patterns. Labelers vote +1, -1 or 0 (abstain) on each: patterns of exact
-formats, a gazetteer of given names, words of the context, and for names three that are learned from the corpus itself
-(the words before, the words after, and first names that keep such company). Candidates are counted by kind and votes,
-a table of a few hundred rows whatever the size of the corpus; on it expectation-maximisation estimates how reliable
-each labeler is, and a logistic regression over the votes is trained on the resulting probabilities. It decides each
-candidate. Of candidates that overlap, the first by kind (email, id_number, phone, address, name), probability and
-length stays.
+Candidates of each kind come from generous patterns over the whole text; a name or an address may go on in the next line.
+Six labelers vote +1, -1 or 0 (abstain) on each: the exact format (for names a gazetteer of given names), words of the
+context, signs against the kind, the words before and the words after, whose votes are learned from the corpus itself by
+how many of the candidates next to them are sure ones, and one sign of the kind's own (for names the first name's company).
+
+Candidates are counted by kind and votes, a table of a few hundred rows whatever the size of the corpus. On it
+expectation-maximisation estimates how reliable each labeler is and with that the probability of each pattern of votes. A
+logistic regression over features of the span and its neighbours (shape, character n-grams, words beside it) and the votes is
+trained on these probabilities, on at most ``sample_rows`` candidates (the least hashes of their places) that a labeler
+votes on. It decides every candidate. Of candidates that overlap, the first by kind (email, id_number, phone, address, name), probability and length
+stays.
 
 Null and empty texts hold nothing. A repeated doc_id is read once per row and its mentions count once.
 """
@@ -14,6 +18,7 @@ Null and empty texts hold nothing. A repeated doc_id is read once per row and it
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
+from . import linear
 
 #: Given names go to all tasks; a longer list is refused, never cut.
 MOST_NAMES = 1_000_000
@@ -40,45 +46,32 @@ _ID = re.compile(
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’]*[\w](?:-[A-ZÀ-ÖØ-Þ]?[\w'’]+)*"
 _EN = r"(?:Street|St|Road|Rd|Lane|Ln|Close|Avenue|Ave|Drive|Dr|Court|Ct|Way|Square|Sq|Terrace|Boulevard|Blvd|Crescent|Cres|Place|Row|Mews|Hill|Gardens|Grove|Parkway|Pkwy|Highway|Hwy|Walk)"
 _DE = r"(?:Straße|Strasse|Str\.|Allee|Platz|Weg|Gasse|Ring|Damm|Ufer|Chaussee|Steig|Pfad)"
+#: An abbreviated kind keeps its full stop; after any but the first one a capital letter or the line's end may begin a sentence.
+_SHORT = r"(?:Blvd\.|(?:St|Rd|Ln|Ave|Dr|Ct|Sq|Cres|Pkwy|Hwy)\.(?=[,;:)]| [a-z]))"
 _TAIL = r"(?:[a-z]| [a-d](?=[,.;:)\n]|$))?\b"
+#: A blank, or the end of a line inside a mention.
+_GAP = r"(?: |[ \t]?\n[ \t]?)"
 _ADDRESS = re.compile(
-    rf"(?<![\w.,:\-])\d{{1,5}}[A-Za-z]?(?:-\d{{1,4}})? (?:[NSEW]\. )?(?:{_CAP} ){{1,3}}{_EN}\b|"
-    rf"(?<!\w)(?:Am|Im|An der|An den|Auf der|Auf dem|Hinter der|Hinter dem|Unter den|Zum|Zur|Beim) {_CAP}(?: {_CAP})? \d{{1,4}}{_TAIL}|"
-    rf"(?<!\w)(?:(?:Am|An der|Alte|Alter|Neue|Große|Kleine) )?(?:{_CAP} ){{1,2}}{_DE}(?:\s|(?<=\.)) ?\d{{1,4}}{_TAIL}|(?<!\w)[A-ZÀ-ÖØ-Þ]\w+(?:str\.|straße|strasse|weg|allee|platz|gasse|ring|damm|ufer) ?\d{{1,4}}{_TAIL}|"
-    rf"(?<![\w.,:\-])\d{{1,4}}(?: ?(?:bis|ter|[a-zA-Z]))?,? (?i:rue|avenue|impasse|place|boulevard|bd|allée|chemin|quai|cours|route|square|passage)(?: (?:de la|de l['’]|du|des|de|d['’]))? ?{_CAP}(?: {_CAP})*|"
-    rf"(?<!\w)(?:Calle|C/|Plaza|Pza\.|Avenida|Avda\.|Av\.|Paseo|Camino|Ronda|Travesía|Carrera|Rue|Avenue|Impasse)(?: (?:de la|de los|de las|del|de|des|du))? ?{_CAP}(?: {_CAP})*,? ?(?:n\.?º ?|núm\. ?)?\d{{1,4}}{_TAIL}"
+    rf"(?<![\w.,:\-])\d{{1,5}}[A-Za-z]?(?:-\d{{1,4}})?{_GAP}(?:[NSEW]\. )?(?:{_CAP}{_GAP}){{1,3}}(?:{_SHORT}|{_EN}\b)|"
+    rf"(?<!\w)(?:Am|Im|An der|An den|Auf der|Auf dem|Hinter der|Hinter dem|Unter den|Zum|Zur|Beim){_GAP}{_CAP}(?:{_GAP}{_CAP})?{_GAP}\d{{1,4}}{_TAIL}|"
+    rf"(?<!\w)(?:(?:Am|An der|Alte|Alter|Neue|Große|Kleine) )?(?:{_CAP}{_GAP}){{1,2}}{_DE}(?:\s|(?<=\.))\s?\d{{1,4}}{_TAIL}|(?<!\w)[A-ZÀ-ÖØ-Þ]\w+(?:str\.|straße|strasse|weg|allee|platz|gasse|ring|damm|ufer)(?:{_GAP})?\d{{1,4}}{_TAIL}|"
+    rf"(?<![\w.,:\-])\d{{1,4}}(?: ?(?:bis|ter|[a-zA-Z]))?,?{_GAP}(?i:rue|avenue|impasse|place|boulevard|bd|allée|chemin|quai|cours|route|square|passage)(?: (?:de la|de l['’]|du|des|de|d['’]))?(?:{_GAP})?{_CAP}(?: {_CAP})*|"
+    rf"(?<!\w)(?:Calle|C/|Plaza|Pza\.|Avenida|Avda\.|Av\.|Paseo|Camino|Ronda|Travesía|Carrera|Rue|Avenue|Impasse)(?: (?:de la|de los|de las|del|de|des|du))?(?:{_GAP})?{_CAP}(?: {_CAP})*,? ?(?:n\.?º ?|núm\. ?)?\d{{1,4}}{_TAIL}"
 )
 _PARTICLE = r"(?:von der|von dem|von|van der|van den|van|de la|de|del|della|da|di|du|zu|zum|zur|ter|ten|le|la|dos|el|al|af|av)"
 _INITIAL = r"[A-ZÀ-ÖØ-Þ]\."
-_FORWARD = re.compile(rf"(?=(?<![\w@.\-/#'’])({_CAP}(?: {_INITIAL})*(?: {_PARTICLE})? {_CAP})(?![\w@]|\.\w|-\w))")
+_FORWARD = re.compile(rf"(?=(?<![\w@.\-/#'’])({_CAP}(?: {_INITIAL})*(?: {_PARTICLE})?{_GAP}{_CAP})(?![\w@]|\.\w|-\w))")
 _BACKWARD = re.compile(rf"(?=(?<![\w@.\-/#'’])((?:{_PARTICLE} )?{_CAP}, {_CAP}(?: {_INITIAL})*)(?![\w@]|\.\w|-\w))")
 _LOWER = re.compile(rf"(?=(?<![\w@.\-/#'’`])([a-zà-öø-þ][\w'’]+(?:-\w+)?(?: [a-zA-Z]\.)*(?: {_PARTICLE})? [a-zà-öø-þ][\w'’]+(?:-\w+)*|[a-zà-öø-þ][\w'’]+(?:-\w+)?, [a-zà-öø-þ][\w'’]+(?:-\w+)*)(?![\w@`]|\.\w))")
 
 _SMALL = re.compile(r"(?<![\w@.\-/#'’`])[a-zà-öø-þ][\w'’]+(?:-\w+)?")
-_SURNAME = re.compile(r"(?<![\w@.\-/#'’])([a-zà-öø-þ][\w'’]+(?:-\w+)?), $")
-_LINE = re.compile(r"[^\n]+")
-#: Kinds of streets as they are written, then as they are written in any case. Fixed values.
-_STREETS = tuple("Street, St,Road, Rd,Lane, Ln,Close,Ave,Drive, Dr,Court, Ct,Way,Square, Sq,Terrace,Boulevard,Blvd,Cres,Place,Row,Mews,Hill,Gardens,Grove,Parkway,Pkwy,Highway,Hwy,Walk,traße,trasse,tr.,Allee,allee,Platz,platz,Weg,weg,Gasse,gasse,Ring,ring ,Damm,damm,Ufer,ufer,Chaussee,Steig,Pfad,Calle,C/,Plaza,Pza.,Avenida,Avda.,Av.,Paseo,Camino,Ronda,Travesía,Carrera,Am ,Im ,An de,Auf de,Hinter de,Unter de,Zum ,Zur ,Beim ,Rue,Impasse".split(","))
-_RUES = ("rue ", "avenue ", "impasse ", "place ", "boulevard ", "bd ", "allée ", "chemin ", "quai ", "cours ", "route ", "square ", "passage ")
 
-
-def _has_street(line: str) -> bool:
-    for w in _STREETS:
-        if w in line:
-            return True
-    low = line.lower()
-    for w in _RUES:
-        if w in low:
-            return True
-    return False
-
-
-#: What a line has to hold for a kind's patterns to be tried on it at all.
+#: What a text has to hold for a kind's patterns to be tried on it at all.
 _HINTS = {
     "email": re.compile(r"@|[\[({<]\s?(?i:at|arroba|chez|ät)\s?[\])}>]|\s(?:at|AT)\s.*(?i:dot)"),
     "id_number": re.compile(r"\d(?:[ \-]?\d){5}|[A-Z]\d{2}[A-Z0-9]{5}"),
     "phone": re.compile(r"\d[\d()./ \-]{5,}\d"),
-    "address": re.compile(r"\d"),
+    "address": re.compile(r"(?<!\w)(?:\d{1,5}[A-Za-z]?(?:-\d{1,4})?[ \n]+(?:[A-ZÀ-ÖØ-Þ]|[a-zà-ÿ]{2,9}[ ,])|\d{1,4}(?: ?(?:bis|ter|[a-zA-Z]))?,? )|[\w.][ \n,.]+(?:n\.?º ?|núm\. ?)?\d{1,4}(?!\d)"),
 }
 
 _CONTEXT = {
@@ -104,6 +97,7 @@ _TITLES = frozenset("herr frau dr mr mrs ms miss prof professor sir madame monsi
 
 
 #: What stands right before a person's name: a title or a line of credit.
+_CREDITED = re.compile(r"(?i)(?<![\w@])(?:mrs?\.|ms\.|dr\.|prof\.|herrn?|frau|monsieur|madame|mme\.?|mlle\.?|señora?|sra?\.|doña|@author|@maintainer|\w+-by:|author:|maintainer:) (?=[a-zà-öø-þ])")
 _CREDIT = re.compile(r"(?i)(?:^|[\s(\"'#*/-])(?:mrs?\.?|ms\.?|dr\.?|prof\.?|herrn?|frau|monsieur|madame|mme\.?|mlle\.?|señora?|sra?\.|doña|@author|@maintainer|\w+-by:|author:|maintainer:|cc)\s+$")
 
 
@@ -129,65 +123,98 @@ def _key(words: list[str]) -> str:
     return " ".join(re.sub(r"\d+", "0", w.lower()) for w in words)
 
 
+def shape(mention: str) -> str:
+    """Letters and digits by class, runs of one class short."""
+    return re.sub(r"(.)\1{2,}", r"\1\1+", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", re.sub(r"\d", "0", mention)).replace("\n", " "))
+
+
+def span_features(kind: str, mention: str, left: list[str], right: list[str]) -> list[int]:
+    """Places of what a span and its neighbours look like in the classifier's weights."""
+    form = shape(mention)
+    words = re.findall(r"\w+", mention.lower())
+    out = ["", f"s {form}", f"l {_key(left[-1:])}", f"ll {_key(left)}", f"r {_key(right[:1])}", f"rr {_key(right)}", f"n {len(words)}", f"begin {form[:3]}", f"end {form[-3:]}", f"line {chr(10) in mention}"]
+    if kind in ("name", "address"):
+        long = max(words, key=len, default="")
+        out += [f"w {w}" for w in words if not w.isdigit()] + [f"end {w[-3:]}" for w in words] + [f"g {long[i : i + 3]}" for i in range(len(long) - 2)]
+    else:
+        out += [f"g {form[i : i + 4]}" for i in range(len(form) - 3)] + [f"d {min(sum(c.isdigit() for c in mention), 16)}"]
+    return linear.hashed([f"{kind} {x}" for x in out], DIMS)
+
+
+def _own_sign(kind: str, mention: str, before: str, after: str) -> int:
+    if kind == "email":
+        domain = re.split(_AT, mention, maxsplit=1)[-1]
+        if after[:1] == ":" and after[1:2].strip() or re.search(r"(?i)@\dx\.|\.(?:png|jpe?g|gif|svg|py|go|rs|c|h)$", mention) or before.endswith("://") or len(domain) < 4:
+            return -1
+        return 1 if before.endswith(("<", "mailto:", '"')) or re.search(r"[\[({<]\s?(?:at|dot)|\s(?:at|AT|@)\s", mention) else 0
+    if kind == "phone":
+        if re.fullmatch(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{4}-\d\d-\d\d.*|\d+\.\d+\.\d+\.\d+|\d{4}\.\d+\.\d+", mention):
+            return -1
+        return 1 if mention[0] in "+(" or mention.startswith(("0", "1-")) else 0
+    if kind == "id_number":
+        return -1 if re.fullmatch(r"\d{9}|\d{11}", mention) else 1 if re.search(r"[A-Z]", mention) else 0
+    number = max(re.findall(r"\d+", mention), key=len)
+    return -1 if len(number) > 4 or re.fullmatch(r"(?:19|20)\d\d", number) else 1 if re.search(r"\d[A-Za-z]\b|\b[NSEW]\. |\bbis\b", mention) else 0
+
+
+def _strong(kind: str, mention: str) -> bool:
+    if kind != "address":
+        return bool(_EXACT[kind].search(mention))
+    return bool(re.search(rf"{_EN}\.?$", mention) or re.match(r"\d+.*\s(?i:rue|avenue|impasse|place|boulevard)|Calle|C/|Plaza|Avenida|Avda|Paseo", mention) or re.search(r"(?:[Ss]tr\.|[Ss]traße|[Ww]eg|[Aa]llee)\s?\d", mention))
+
+
+def _neighbours(before: str, after: str) -> tuple[list[str], list[str]]:
+    left = re.findall(r"[\w'’.-]+|[^\w\s]", before)[-2:]
+    if len(left) == 2 and left[0][-1] in ".!?":
+        left = left[1:]
+    return left, re.findall(r"[\w'’.-]+|[^\w\s]", after)[:2]
+
+
 def candidates(text: str, given: frozenset[str]) -> list[tuple]:
-    """(kind, start, end, mention, votes, left key, right key, first name, gazetteer hit)."""
+    """(kind, start, end, mention, votes, left key, right key, first name, sure, features); null keys at a line's begin and end."""
     out, taken = [], []
-    lines = [(m.start(), m.end()) for m in _LINE.finditer(text)]
     for kind, pattern in (("email", _EMAIL), ("id_number", _ID), ("phone", _PHONE), ("address", _ADDRESS)):
-        hint = _HINTS[kind]
-        tried = [(low, high) for low, high in lines if hint.search(text, low, high) and (kind != "address" or _has_street(text[low:high]))]
-        for m in (m for low, high in tried for m in pattern.finditer(text, low, high)):
+        if not _HINTS[kind].search(text):
+            continue
+        for m in pattern.finditer(text):
             start, end, mention = m.start(), m.end(), m[0]
-            if kind == "phone":
-                if mention.count("(") != mention.count(")"):
-                    continue
-                digits = sum(c.isdigit() for c in mention)
-                if not 8 <= digits <= 15:
-                    continue
-            before, after, line = _around(text, start, end)
+            if kind == "phone" and (mention.count("(") != mention.count(")") or not 8 <= sum(c.isdigit() for c in mention) <= 15):
+                continue
+            if kind == "address":  # a word that announces an address is no part of it
+                while (word := re.match(r"(\w+)\s+(?=\S+\s+\S)", mention)) and _CONTEXT[kind].fullmatch(word[1]):
+                    start, mention = start + word.end(), mention[word.end() :]
+            before, after, _ = _around(text, start, end)
             near = before[-45:] + " § " + after[:45]
-            votes = [1 if _EXACT[kind].search(mention) else 0, 1 if _CONTEXT[kind].search(near) else 0, -1 if _AGAINST[kind].search(before[-30:] + " " + after[:12]) else 0, 0, 0, 0]
-            if kind == "email":
-                domain = re.split(_AT, mention, maxsplit=1)[-1]
-                votes[3] = -1 if after[:1] == ":" and after[1:2].strip() or re.search(r"(?i)@\dx\.|\.(?:png|jpe?g|gif|svg|py|go|rs|c|h)$", mention) or before.endswith("://") else 1
-                votes[4] = 1 if re.search(r"[\[({<]\s?(?:at|dot)|@", mention, re.I) and len(domain) > 3 else -1
-            elif kind == "phone":
-                votes[3] = 1 if mention[0] in "+(" or mention.startswith(("0", "1-")) else 0
-                votes[4] = -1 if not _EXACT[kind].search(mention) else 0
-                votes[5] = -1 if re.fullmatch(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{4}-\d\d-\d\d.*|\d+\.\d+\.\d+\.\d+|\d{4}\.\d+\.\d+", mention) else 0
-            elif kind == "id_number":
-                votes[3] = -1 if not _CONTEXT[kind].search(line) else 0
-                votes[4] = 1 if re.search(r"[A-Z]", mention) else 0
-            elif kind == "address":
-                votes[3] = 1 if re.search(rf"{_EN}$", mention) or re.match(r"\d+.* (?i:rue|avenue|impasse|place|boulevard)|Calle|Plaza|Avenida|Paseo", mention) or re.search(r"(?:[Ss]tr\.|[Ss]traße|[Ww]eg|[Aa]llee) ?\d", mention) else 0
-                votes[4] = 1
-            out.append((kind, start, end, mention, votes, "", "", "", False))
+            left, right = _neighbours(before, after)
+            strong = _strong(kind, mention)
+            votes = [int(strong), int(bool(_CONTEXT[kind].search(near))), -int(bool(_AGAINST[kind].search(before[-30:] + " " + after[:12]))), 0, 0, _own_sign(kind, mention, before, after)]
+            out.append((kind, start, end, mention, votes, _key(left) or None, _key(right) or None, None, strong and votes[1] == 1 and votes[2] == 0, span_features(kind, mention, left, right)))
             taken.append((start, end))
+    taken.sort()
+    begins = [a for a, _ in taken]
     for pattern, found in ((_FORWARD, _FORWARD.finditer(text)), (_BACKWARD, _BACKWARD.finditer(text)), (_LOWER, _lower_names(text, given))):
         for m in found:
             start, end, mention = m.start(1), m.end(1), m[1]
             first, last, backward = _name_parts(mention)
-            known = first in given or bool(re.split(r"-", first)[0] in given and "-" in first)
-            if first in _TITLES or last in _TITLES or pattern is _LOWER and not known:
+            known = first in given or "-" in first and first.partition("-")[0] in given
+            if first in _TITLES or last in _TITLES:
                 continue
             before, after, _ = _around(text, start, end)
-            left = re.findall(r"[\w'’.-]+|[^\w\s]", before)[-2:]
-            if len(left) == 2 and left[0][-1] in ".!?":
-                left = left[1:]
-            right = re.findall(r"[\w'’.-]+|[^\w\s]", after)[:2]
-            inside = any(a < end and start < b for a, b in taken)
+            left, right = _neighbours(before, after)
+            i = bisect_left(begins, end)
+            inside = any(b > start for _, b in taken[max(0, i - 8) : i])
             surname = re.sub(r"[^\w]", "", last)
-            votes = [1 if known else 0, -1 if inside else 0, -1 if pattern is _LOWER else 1 if mention.isupper() or backward else 0, 0, 0, 0]
-            if len(surname) < 4:
-                votes[1] = -1
-            elif _CREDIT.search(before) and not inside:
-                votes[1] = 1
-            out.append(("name", start, end, mention, votes, _key(left) if left else "^", _key(right) if right else "$", first, known))
+            credit = -1 if len(surname) < 4 else 1 if _CREDIT.search(before) and not inside else 0
+            form = -1 if inside or pattern is _LOWER or "\n" in mention else 1 if mention.isupper() or backward else 0
+            out.append(("name", start, end, mention, [int(known), credit, form, 0, 0, 0], _key(left) or None, _key(right) or None, first, known, span_features("name", mention, left, right)))
     return out
 
 
 def _lower_names(text: str, given: frozenset[str]) -> Iterator[re.Match]:
-    """Names in small letters that hold a listed given name."""
+    """Names in small letters: with a listed given name, or after a title or a line of credit."""
+    for m in _CREDITED.finditer(text):
+        if name := _LOWER.match(text, m.end()):
+            yield name
     words = set(_SMALL.findall(text))
     if words.isdisjoint(given) and not any("-" in w and w.partition("-")[0] in given for w in words if len(w) > 4):
         return
@@ -195,17 +222,21 @@ def _lower_names(text: str, given: frozenset[str]) -> Iterator[re.Match]:
         if w[0] in given or w[0].partition("-")[0] in given:
             if m := _LOWER.match(text, w.start()):
                 yield m
-            before = _SURNAME.search(text, max(0, w.start() - 40), w.start())
-            if before and (m := _LOWER.match(text, before.start(1))):
-                yield m
+            if text[w.start() - 2 : w.start()] == ", ":  # the surname first
+                at = w.start() - 2
+                while at and not text[at - 1].isspace():
+                    at -= 1
+                if m := _LOWER.match(text, at):
+                    yield m
 
 
-_CANDIDATE = "doc_id long, kind string, start int, stop int, mention string, v array<int>, left string, right string, first string, known boolean"
+DIMS = 1 << 17
+_CANDIDATE = "doc_id long, kind string, start int, stop int, mention string, v array<int>, left string, right string, first string, sure boolean, features array<int>"
 
 
 def _candidate_rows(given: frozenset[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["kind", "start", "stop", "mention", "v", "left", "right", "first", "known"]
+        names = ["kind", "start", "stop", "mention", "v", "left", "right", "first", "sure", "features"]
         for b in batches:
             rows = [(doc, *c) for doc, text in zip(b.doc_id, b.text) for c in candidates(text, given)]
             yield pd.DataFrame(rows, columns=["doc_id", *names])
@@ -213,97 +244,118 @@ def _candidate_rows(given: frozenset[str]):
     return run
 
 
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: list[str], default: int = 0) -> DataFrame:
+    """``rows`` with the column vote of ``known`` (key and vote, each key once), ``default`` where there is none.
+
+    A word that stands beside a third of all candidates is no single join key: rows are salted by their document and the
+    votes repeated for each salt. Rows without a key get a key of their own, which meets nothing.
+    """
+    last = key[-1]
+    own = F.coalesce(last, F.concat(F.lit("\0"), F.col("doc_id").cast("string"), F.lit(" "), F.col("start").cast("string")))
+    salted = rows.withColumn("_key", own).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    votes = known.withColumnRenamed(last, "_key").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = [*key[:-1], "_key", "_salt"]
+    return salted.join(votes.select(*on, "vote"), on, "left").fillna(default, ["vote"]).drop("_key", "_salt")
+
+
+def company(rows: DataFrame, least: int, share: float) -> DataFrame:
+    """side, kind, word, vote: what the words beside candidates say of these, by how many candidates beside them are sure."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("word")) for s in ("left", "right")]))
+    counts = rows.select("kind", "sure", sides.alias("x")).where("x.word is not null").groupBy("x.side", "kind", "x.word").agg(F.count("*").alias("n"), F.sum(F.col("sure").cast("int")).alias("k"))
+    vote = F.when((F.col("k") >= least) & (F.col("k") >= share * F.col("n")), 1).when((F.col("n") >= 20) & (F.col("k") == 0), -1)
+    return counts.select("side", "kind", "word", vote.alias("vote")).where("vote is not null")
+
+
+def with_company(rows: DataFrame, votes: DataFrame) -> DataFrame:
+    for side in ("left", "right"):
+        of = votes.where(F.col("side") == side).select("kind", F.col("word").alias(side), "vote")
+        rows = looked_up(rows, of, ["kind", side]).withColumnRenamed("vote", f"{side}_vote")
+    return rows
+
+
 def spans(documents: DataFrame, given_names: DataFrame, least: int = 2, share: float = 0.3) -> DataFrame:
-    """Every candidate span with its votes, v0 to v5, of the labelers."""
+    """Every candidate span with its features and the votes, v0 to v5, of the labelers."""
     rows = given_names.where("given_name is not null").select(F.lower("given_name").alias("g")).distinct().limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
         raise ValueError(f"a list of more than {MOST_NAMES} given names is no gazetteer")
     given = frozenset(r.g for r in rows)
     found = documents.where("doc_id is not null and length(text) > 0").select("doc_id", "text").mapInPandas(_candidate_rows(given), _CANDIDATE)
-    found = checkpointed(found)  # read five times below
-    names = found.where("kind = 'name'")
-
-    def company(rows: DataFrame, key: str) -> DataFrame:
-        """A vote of the words next to a candidate, by how many of the candidates next to them are known names."""
-        counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("known").cast("int")).alias("k"))
-        vote = F.when((F.col("k") >= least) & (F.col("k") >= share * F.col("n")), 1).when((F.col("n") >= 20) & (F.col("k") == 0), -1)
-        return counts.select(key, vote.alias(f"{key}_vote")).where(F.col(f"{key}_vote").isNotNull())
-
-    def with_company(rows: DataFrame) -> DataFrame:
-        return rows.join(company(rows, "left"), "left", "left").join(company(rows, "right"), "right", "left").fillna(0, ["left_vote", "right_vote"])
-
+    found = checkpointed(found)  # read several times below
+    names, others = found.where("kind = 'name'").drop("features"), found.where("kind <> 'name'")
     near = (F.col("left_vote") == 1) | (F.col("right_vote") == 1)
-    learned = with_company(names).groupBy("first").agg(F.count("*").alias("n"), F.sum(near.cast("int")).alias("k"))
-    learned = learned.select("first", F.when((F.col("k") >= least) & (F.col("k") >= 0.5 * F.col("n")), 1).when((F.col("n") >= 5) & (F.col("k") < 0.1 * F.col("n")), -1).otherwise(0).alias("first_vote"))
-    again = names.join(learned, "first", "left").withColumn("known", F.col("known") | (F.coalesce("first_vote", F.lit(0)) == 1))
-    voted = with_company(again).select("doc_id", "kind", "start", "stop", "mention", *(F.col("v")[i].alias(f"v{i}") for i in range(3)), F.col("left_vote").alias("v3"), F.col("right_vote").alias("v4"), F.coalesce("first_vote", F.lit(0)).alias("v5"))
-    others = found.where("kind <> 'name'").select("doc_id", "kind", "start", "stop", "mention", *(F.col("v")[i].alias(f"v{i}") for i in range(6)))
-    return voted.unionByName(others)
+    learned = with_company(names, company(names, least, share)).groupBy("first").agg(F.count("*").alias("n"), F.sum(near.cast("int")).alias("k"))
+    first = learned.select("first", F.when((F.col("k") >= least) & (F.col("k") >= 0.5 * F.col("n")), 1).when((F.col("n") >= 5) & (F.col("k") < 0.1 * F.col("n")), -1).alias("vote")).where("vote is not null")
+    again = looked_up(found.where("kind = 'name'"), first, ["first"]).withColumn("sure", F.col("sure") | (F.col("vote") == 1)).withColumnRenamed("vote", "v5")
+    both = again.unionByName(others.withColumn("v5", F.col("v")[5]))
+    voted = with_company(both, company(again.select("kind", "sure", "left", "right").unionByName(others.select("kind", "sure", "left", "right")), least, share))
+    return voted.select("doc_id", "kind", "start", "stop", "mention", "features", *(F.col("v")[i].alias(f"v{i}") for i in range(3)), F.col("left_vote").alias("v3"), F.col("right_vote").alias("v4"), "v5")
 
 
 VOTES = [f"v{i}" for i in range(6)]
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 30, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """EM for a two-class model with independent labelers: probability of each vote pattern, reliability of each labeler."""
-    score = votes.sum(axis=1)
-    p = 1 / (1 + np.exp(-(1.6 * score - 1.2)))
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """EM for a two-class model with independent labelers: probability of each vote pattern, reliability of each labeler.
+
+    It begins at the sum of votes; a few made-up observations keep rare votes pointing where they are meant to.
+    """
+    p = linear.sigmoid(1.6 * votes.sum(axis=1) - 1.2)
     for _ in range(rounds):
         w1, w0 = counts * p, counts * (1 - p)
         share = np.clip((w1.sum() + 1) / (counts.sum() + 2), 0.02, 0.98)
         logit = np.full(len(p), np.log(share / (1 - share)))
         for k in range(votes.shape[1]):
-            for value, start1, start0 in ((-1, 0.5, 4.0), (0, 4.0, 4.0), (1, 4.0, 0.5)):  # smoothing says which way a vote points
+            for value, start1, start0 in ((-1, 1.0, 3.0), (0, 3.0, 3.0), (1, 3.0, 1.0)):
                 hit = votes[:, k] == value
-                a = (w1[hit].sum() + start1) / (w1.sum() + 8.5)
-                b = (w0[hit].sum() + start0) / (w0.sum() + 8.5)
-                logit[hit] += np.log(a / b)
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+                logit[hit] += np.log((w1[hit].sum() + start1) / (w1.sum() + 7)) - np.log((w0[hit].sum() + start0) / (w0.sum() + 7))
+        p = linear.sigmoid(logit)
     sure = np.array([(counts * np.where(votes[:, k] > 0, p, np.where(votes[:, k] < 0, 1 - p, 0))).sum() / max((counts * (votes[:, k] != 0)).sum(), 1) for k in range(votes.shape[1])])
     return p, sure
 
 
-def _features(votes: np.ndarray) -> np.ndarray:
-    return np.hstack([votes > 0, votes < 0, (votes.sum(axis=1, keepdims=True)) / 3, np.ones((len(votes), 1))]).astype(float)
-
-
-def train(votes: np.ndarray, p: np.ndarray, counts: np.ndarray, steps: int = 400, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression over the votes on the estimated probabilities, weighted by the logarithm of the counts."""
-    x, w = _features(votes), np.zeros(votes.shape[1] * 2 + 2)
-    weight = np.log1p(counts)
-    for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (weight * np.maximum(q * (1 - q), 1e-3))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (weight * (p - q)) - ridge * w)
-        w += 0.5 * step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+def vote_features(kind: str, votes) -> list[int]:
+    return linear.hashed([f"{kind} v{i} {v}" for i, v in enumerate(votes) if v], DIMS)[1:]
 
 
-def classify(labelled: DataFrame) -> tuple[DataFrame, dict]:
-    """The spans with the probability p of their kind's classifier, and what was learned of each kind."""
-    patterns = labelled.groupBy("kind", *VOTES).agg(F.count("*").alias("n")).toPandas()  # at most 5 * 3**6 rows
+def classify(labelled: DataFrame, sample_rows: int = 20_000) -> tuple[DataFrame, dict]:
+    """The spans with the classifier's probability p, and the reliability of each kind's labelers."""
+    spark = labelled.sparkSession
+    patterns = labelled.groupBy("kind", *VOTES).agg(F.count("*").alias("n")).toPandas().sort_values(["kind", *VOTES])  # at most 5 * 3**6 rows
     rows, learned = [], {}
     for kind, g in patterns.groupby("kind"):
-        votes, counts = g[VOTES].to_numpy(int), g.n.to_numpy(float)
-        p, sure = estimate(votes, counts)
-        w = train(votes, p, counts)
-        q = 1 / (1 + np.exp(-np.clip(_features(votes) @ w, -30, 30)))
-        learned[kind] = {"reliability": sure.round(3).tolist(), "weights": w.round(3).tolist()}
-        rows += [(kind, *map(int, v), float(x)) for v, x in zip(votes, q)]
-    spark = labelled.sparkSession
+        votes = g[VOTES].to_numpy(int)
+        p, sure = estimate(votes, g.n.to_numpy(float))
+        learned[kind] = {"reliability": sure.round(3).tolist()}
+        rows += [(kind, *map(int, v), float(x)) for v, x in zip(votes, p)]
     table = spark.createDataFrame(rows, "kind string, " + ", ".join(f"{v} int" for v in VOTES) + ", p double")
-    return labelled.join(F.broadcast(table), ["kind", *VOTES]), learned
+    sample = labelled.orderBy(F.xxhash64("doc_id", "start", "kind"), "doc_id", "start", "kind", "stop").limit(sample_rows)
+    told = sample.join(F.broadcast(table), ["kind", *VOTES]).select("kind", *VOTES, "features", "p").toPandas()
+    w = linear.fit([[*f, *vote_features(k, v)] for k, f, v in zip(told.kind, told.features, told[VOTES].to_numpy(int))], told.p.to_numpy(float), (told[VOTES] != 0).any(axis=1).to_numpy(float) + 1e-3, DIMS)  # where nobody votes nothing is taught
+    handle = spark.sparkContext.broadcast(w)
+
+    @F.pandas_udf("double")
+    def probability(kind: pd.Series, features: pd.Series, *votes: pd.Series) -> pd.Series:
+        weights = handle.value
+        return pd.Series(linear.sigmoid(linear.scores([[*f, *vote_features(k, v)] for k, f, v in zip(kind, features, zip(*votes))], weights)))
+
+    return labelled.withColumn("p", probability("kind", "features", *VOTES)).drop("features"), learned
 
 
 def _resolve(found: list) -> list:
+    """Spans without overlap: each is kept unless one before it in order overlaps; kept ones are searched by their place."""
     order = sorted(found, key=lambda s: (KINDS.index(s["kind"]), -round(s["p"], 6), s["start"] - s["stop"], s["start"]))
+    starts: list[int] = []
     kept: list = []
     for s in order:
-        if all(s["stop"] <= k["start"] or k["stop"] <= s["start"] for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s["start"])
+        i = bisect_left(starts, s["stop"])
+        if not i or kept[i - 1]["stop"] <= s["start"]:
+            i = bisect_left(starts, s["start"])
+            starts.insert(i, s["start"])
+            kept.insert(i, s)
+    return kept
 
 
 def mentions(documents: DataFrame, given_names: DataFrame, threshold: float = 0.5) -> DataFrame:
