@@ -66,13 +66,76 @@ _LOWER = re.compile(rf"(?=(?<![\w@.\-/#'’`])([a-zà-öø-þ][\w'’]+(?:-\w+)?
 
 _SMALL = re.compile(r"(?<![\w@.\-/#'’`])[a-zà-öø-þ][\w'’]+(?:-\w+)?")
 
-#: What a text has to hold for a kind's patterns to be tried on it at all.
+#: What any candidate of a kind holds. Patterns are tried only where it stands.
 _HINTS = {
-    "email": re.compile(r"@|[\[({<]\s?(?i:at|arroba|chez|ät)\s?[\])}>]|\s(?:at|AT)\s.*(?i:dot)"),
+    "email": re.compile(r"@|[\[({<]\s?(?i:at|arroba|chez|ät)\s?[\])}>]|\s(?:at|AT)\s"),
     "id_number": re.compile(r"\d(?:[ \-]?\d){5}|[A-Z]\d{2}[A-Z0-9]{5}"),
     "phone": re.compile(r"\d[\d()./ \-]{5,}\d"),
-    "address": re.compile(r"(?<!\w)(?:\d{1,5}[A-Za-z]?(?:-\d{1,4})?[ \n]+(?:[A-ZÀ-ÖØ-Þ]|[a-zà-ÿ]{2,9}[ ,])|\d{1,4}(?: ?(?:bis|ter|[a-zA-Z]))?,? )|[\w.][ \n,.]+(?:n\.?º ?|núm\. ?)?\d{1,4}(?!\d)"),
-}
+}
+#: Kinds of streets as they stand in addresses, and those written in any case, in small letters. Fixed values.
+_STREETS = (
+    "Street Road Lane Close Avenue Drive Court Square Terrace Boulevard Blvd Cres Place Mews Hill Gardens Grove Parkway Pkwy Highway Hwy Walk traße trasse tr. llee Platz platz Weg weg Gasse gasse Ring Damm damm Ufer ufer Chaussee Steig Pfad "
+    "Calle C/ Plaza Pza. Avenida Avda. Av. Paseo Camino Ronda Travesía Carrera Rue Impasse Way Row Ave"
+).split() + [g + w for w in ("St", "Rd", "Ln", "Dr", "Ct", "Sq") for g in " \n"] + [w + g for w in ("Am", "Im", "An der", "An den", "Auf der", "Auf dem", "Hinter der", "Hinter dem", "Unter den", "Zum", "Zur", "Beim", "ring") for g in " \n"]
+_RUES = "rue avenue impasse place boulevard bd allée chemin quai cours route square passage".split()
+_LINES = 4
+
+
+def _places(text: str, words) -> Iterator[int]:
+    for w in words:
+        at = text.find(w)
+        while at >= 0:
+            yield at
+            at = text.find(w, at + 1)
+
+
+def _windows(text: str, low: str) -> Iterator[tuple[int, int]]:
+    """Stretches of lines around kinds of streets: an address has fewer line ends than _LINES before and after its kind."""
+    last = (0, -1)
+    for at in sorted({*_places(text, _STREETS), *_places(low, _RUES)}):
+        if at < last[1]:
+            continue
+        begin, end = at, at
+        for _ in range(_LINES + 1):
+            begin = text.rfind("\n", 0, max(begin, 0)) if begin > 0 else -1
+            end = text.find("\n", end + 1) if end >= 0 else -1
+        begin, end = max(begin, 0), len(text) if end < 0 else end
+        if begin <= last[1]:
+            last = (last[0], max(end, last[1]))
+        else:
+            if last[1] >= 0:
+                yield last
+            last = (begin, end)
+    if last[1] >= 0:
+        yield last
+
+
+def _emails(text: str) -> Iterator[re.Match]:
+    """Matches around each sign or word for at; a domain has at most 253 characters, spelled out not more than 600."""
+    done = 0
+    for h in _HINTS["email"].finditer(text):
+        at = h.start()
+        while at > done and text[at - 1] in " \t\n":
+            at -= 1
+        while at > done and not text[at - 1].isspace():
+            at -= 1
+        for m in _EMAIL.finditer(text, at, min(len(text), h.end() + 600)):
+            if m.start() > h.end():
+                break
+            if m.start() >= done:
+                done = m.end()
+                yield m
+
+
+def _matches(kind: str, text: str, low: str) -> Iterator[re.Match]:
+    if kind == "email":
+        yield from _emails(text)
+    elif kind == "address":
+        for begin, end in _windows(text, low):
+            yield from _ADDRESS.finditer(text, begin, end)
+    elif _HINTS[kind].search(text):
+        yield from (_ID if kind == "id_number" else _PHONE).finditer(text)
+
 
 _CONTEXT = {
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|mailto|contact|reply|reach|repl|report|reporter|write|écri\w*|signalement|escrib\w*|correo|rückfragen|gemeldet|schreib\w*|signed-off-by|cc|author|invit\w*)\b"),
@@ -97,6 +160,7 @@ _TITLES = frozenset("herr frau dr mr mrs ms miss prof professor sir madame monsi
 
 
 #: What stands right before a person's name: a title or a line of credit.
+_BLANKS = str.maketrans({c: " " for c in "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~§—–“”„«»"})
 _CREDITED = re.compile(r"(?i)(?<![\w@])(?:mrs?\.|ms\.|dr\.|prof\.|herrn?|frau|monsieur|madame|mme\.?|mlle\.?|señora?|sra?\.|doña|@author|@maintainer|\w+-by:|author:|maintainer:) (?=[a-zà-öø-þ])")
 _CREDIT = re.compile(r"(?i)(?:^|[\s(\"'#*/-])(?:mrs?\.?|ms\.?|dr\.?|prof\.?|herrn?|frau|monsieur|madame|mme\.?|mlle\.?|señora?|sra?\.|doña|@author|@maintainer|\w+-by:|author:|maintainer:|cc)\s+$")
 
@@ -172,11 +236,11 @@ def _neighbours(before: str, after: str) -> tuple[list[str], list[str]]:
 
 def candidates(text: str, given: frozenset[str]) -> list[tuple]:
     """(kind, start, end, mention, votes, left key, right key, first name, sure, features); null keys at a line's begin and end."""
-    out, taken = [], []
-    for kind, pattern in (("email", _EMAIL), ("id_number", _ID), ("phone", _PHONE), ("address", _ADDRESS)):
-        if not _HINTS[kind].search(text):
-            continue
-        for m in pattern.finditer(text):
+    out, taken, low = [], [], text.lower()
+    if len(low) != len(text):  # one letter has a longer small form
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    for kind in KINDS[:4]:
+        for m in _matches(kind, text, low):
             start, end, mention = m.start(), m.end(), m[0]
             if kind == "phone" and (mention.count("(") != mention.count(")") or not 8 <= sum(c.isdigit() for c in mention) <= 15):
                 continue
@@ -192,7 +256,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
             taken.append((start, end))
     taken.sort()
     begins = [a for a, _ in taken]
-    for pattern, found in ((_FORWARD, _FORWARD.finditer(text)), (_BACKWARD, _BACKWARD.finditer(text)), (_LOWER, _lower_names(text, given))):
+    for pattern, found in ((_FORWARD, _FORWARD.finditer(text)), (_BACKWARD, _backward_names(text)), (_LOWER, _lower_names(text, low, given))):
         for m in found:
             start, end, mention = m.start(1), m.end(1), m[1]
             first, last, backward = _name_parts(mention)
@@ -210,13 +274,41 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
     return out
 
 
-def _lower_names(text: str, given: frozenset[str]) -> Iterator[re.Match]:
+_COMMA = re.compile(r", (?=[A-ZÀ-ÖØ-Þ])")
+
+
+def _backward_names(text: str) -> Iterator[re.Match]:
+    """Surname, given name: tried at the words before each comma."""
+    for m in _COMMA.finditer(text):
+        at = m.start()
+        for _ in range(4):  # the surname and a particle of up to three words
+            while at and not text[at - 1].isspace():
+                at -= 1
+            tried = at
+            while tried < m.start() and not text[tried].isalpha():
+                tried += 1
+            name = _BACKWARD.match(text, tried)
+            if name and name.start(1) + len(name[1].split(", ")[0]) == m.start():
+                yield name
+            if not at or text[at - 1] == "\n":
+                break
+            at -= 1
+
+
+#: Words before a name: titles and lines of credit. Fixed values.
+_CUES = ("mr", "ms", "dr.", "prof.", "herr", "frau", "monsieur", "madame", "mme", "mlle", "señor", "sra.", "sr.", "doña", "author", "maintainer", "-by:")
+
+
+def _lower_names(text: str, low: str, given: frozenset[str]) -> Iterator[re.Match]:
     """Names in small letters: with a listed given name, or after a title or a line of credit."""
-    for m in _CREDITED.finditer(text):
-        if name := _LOWER.match(text, m.end()):
+    for at in sorted(_places(low, _CUES)):
+        while at and (low[at - 1].isalnum() or low[at - 1] in "-_"):  # "-by:" is the end of a word
+            at -= 1
+        at -= at > 0 and low[at - 1] == "@"
+        if (m := _CREDITED.match(text, at)) and (name := _LOWER.match(text, m.end())):
             yield name
-    words = set(_SMALL.findall(text))
-    if words.isdisjoint(given) and not any("-" in w and w.partition("-")[0] in given for w in words if len(w) > 4):
+    words = set(text.translate(_BLANKS).split())
+    if words.isdisjoint(given) and not any("-" in w and w.partition("-")[0] in given for w in words):
         return
     for w in _SMALL.finditer(text):
         if w[0] in given or w[0].partition("-")[0] in given:
