@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
-from ..sources.tables import extension, language_of, repo_of
+from ..sources.tables import extension, language_of, lookup, numbered, repo_of
 
 
 #: A line that a docstring begins on, and what it says.
@@ -47,24 +45,38 @@ def mine_patterns(files: DataFrame, least_files: int = 3, most_define: int = 120
     """
     c = distinct_files(files.where(language_of(F.col("path")) == "c"))
 
-    def found(kind: str):
-        return c.select("path", F.lit(kind).alias("pattern_type"), F.explode(text.matches(F.col("content"), lexicon.MINED[kind])).alias("m"))
-
-    stripped = [found(k).select("path", "pattern_type", text.strip(F.col("m")).alias("pattern")) for k in ("include", "define", "pragma")]
-    stripped[1] = stripped[1].where(F.length("pattern") <= most_define)
-    blocks = found("comment_block").where(F.length("m") > least_comment)
-    stripped.append(blocks.select("path", "pattern_type", F.array_join(F.slice(text.matches(F.col("m"), r"\S+"), 1, comment_words), " ").alias("pattern")))
-    names = found("identifier").where(F.length("m") >= least_identifier).groupBy("path", "pattern_type", F.col("m").alias("pattern")).agg(F.count("*").alias("n"))
-    stripped.append(names.where(F.col("n") >= least_in_file).drop("n"))
-    both = reduce(DataFrame.unionByName, stripped)
-    return both.groupBy("pattern_type", "pattern").agg(F.countDistinct("path").alias("n_files")).where(F.col("n_files") >= least_files)
+    def typed(kind: str) -> Column:
+        return F.transform(text.matches(F.col("content"), lexicon.MINED[kind]), lambda m: F.struct(F.lit(kind).alias("pattern_type"), m.alias("m")))
+
+    found = F.concat(*map(typed, lexicon.MINED))
+    raw = c.select("path", F.explode(found).alias("x")).select("path", "x.pattern_type", "x.m")
+    kind, m = F.col("pattern_type"), F.col("m")
+    bare = text.strip(m)
+    pattern = (
+        F.when((kind == "define") & (F.length(bare) > most_define), None)
+        .when((kind == "comment_block") & (F.length(m) > least_comment), F.array_join(F.slice(text.matches(m, r"\S+"), 1, comment_words), " "))
+        .when(kind == "comment_block", None).when((kind == "identifier") & (F.length(m) < least_identifier), None).when(kind == "identifier", m).otherwise(bare)
+    )
+    each = raw.select("path", "pattern_type", pattern.alias("pattern")).where("pattern is not null").groupBy("path", "pattern_type", "pattern").agg(F.count("*").alias("n"))
+    counted = each.where((kind != "identifier") | (F.col("n") >= least_in_file))
+    return counted.groupBy("pattern_type", "pattern").agg(F.count("*").alias("n_files")).where(F.col("n_files") >= least_files)
+
+
+def tokens_of(mined: DataFrame) -> DataFrame:
+    """Mined patterns with their hash and the token that stands for them."""
+    h = F.sha2("pattern", 256)
+    return mined.select("pattern_type", "pattern", "n_files", h.alias("hash"), F.concat(F.lit("§"), F.substring(h, 1, 8)).alias("token"))
 
 
 def mined_tokens(mined: DataFrame) -> DataFrame:
-    """Mined patterns with their hash, the token that stands for them, and their order within the type."""
-    h = F.sha2("pattern", 256)
-    order = W.partitionBy("pattern_type").orderBy(F.desc("n_files"), "pattern")
-    return mined.select("pattern_type", "pattern", "n_files", h.alias("hash"), F.concat(F.lit("§"), F.substring(h, 1, 8)).alias("token"), F.row_number().over(order).alias("place"))
+    """The same with their order within the type."""
+    return numbered(tokens_of(mined), "pattern_type", F.desc("n_files"), F.col("pattern").asc())
+
+
+def pattern_summary(mined: DataFrame) -> DataFrame:
+    """Patterns of each type, the files that hold them, and the share of patterns whose token is shorter."""
+    shorter = text.count_tokens(F.col("token")) < text.count_tokens(F.col("pattern"))
+    return tokens_of(mined).groupBy("pattern_type").agg(F.count("*").alias("n_patterns"), F.max("n_files").alias("most_files"), F.count_if(shorter).alias("n_saving"))
 
 
 def hash_cache(patterns: DataFrame) -> DataFrame:
@@ -73,16 +85,29 @@ def hash_cache(patterns: DataFrame) -> DataFrame:
     return rows.groupBy("hash").agg(F.max_by("compressed", F.struct("mined_at", "pattern_no", "compressed")).alias("compressed"))
 
 
+def hashed_lines(files: DataFrame) -> DataFrame:
+    """path, hash, n: how often each line that holds anything stands in a file."""
+    held = file_lines(files).where(F.col("line").rlike(r"\S"))
+    return held.groupBy("path", F.sha2(F.rtrim("line"), 256).alias("hash")).agg(F.count("*").alias("n"))
+
+
 def cached_lines(files: DataFrame, cache: DataFrame) -> DataFrame:
     """path, line_no, hash, compressed (null if the cache has no such line) of every line that holds anything."""
     hashed = file_lines(files).where(F.col("line").rlike(r"\S")).select("path", "line_no", F.sha2(F.rtrim("line"), 256).alias("hash"))
-    return hashed.join(cache, "hash", "left")
+    return lookup(hashed, cache, "hash", ["path", "line_no"])
+
+
+def cache_hits(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """path, lines, hits, any_hit: lines of each file that hold anything, and those the cache (hash, compressed) holds."""
+    found = lookup(hashed_lines(files), cache, "hash", ["path", "hash"])
+    hit = F.col("compressed").isNotNull()
+    return found.groupBy("path").agg(F.sum("n").alias("lines"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("hits"), F.bool_or(hit).alias("any_hit"))
 
 
 def uncached(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Distinct lines that the cache does not hold, with the files that hold them."""
-    hashed = file_lines(files).where(F.col("line").rlike(r"\S")).select("path", F.sha2(F.rtrim("line"), 256).alias("hash"))
-    return hashed.join(cache, "hash", "left_anti").groupBy("hash").agg(F.countDistinct("path").alias("n_files"))
+    """Distinct lines that the cache does not hold, with the files that hold them; lines are counted before they meet the cache."""
+    counted = hashed_lines(files).groupBy("hash").agg(F.count("*").alias("n_files"))
+    return counted.join(cache, "hash", "left_anti")
 
 
 def repo_rollup(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
-from ..sources.tables import extension, language_of
+from ..sources.tables import extension, language_of, lookup
 from .corpus import distinct_files, file_lines
 
 
@@ -18,8 +18,15 @@ def maskable_lines(files: DataFrame) -> DataFrame:
     return file_lines(files.where(extension(F.col("path")) == "py")).withColumn("maskable", may)
 
 
+MARKER = r"\[§:[0-9a-f]{8}\]"
+
+
+def _marker(line, salt):
+    return F.concat(F.lit("[§:"), text.short_hash(line, salt), F.lit("]"))
+
+
 def registry(lines: DataFrame) -> DataFrame:
-    """line, marker: a marker for every distinct maskable line.
+    """line, marker, salt: a marker for every distinct maskable line.
 
     Lines whose short hashes agree get salts 0, 1, ... in the order of their texts, so that the registry does not depend
     on the order of files.
@@ -27,14 +34,19 @@ def registry(lines: DataFrame) -> DataFrame:
     distinct = lines.where("maskable").select("line").distinct()
     first = distinct.withColumn("h", text.short_hash(F.col("line"), F.lit(0)))
     salted = first.withColumn("salt", F.row_number().over(W.partitionBy("h").orderBy("line")) - 1)
-    return salted.select("line", F.concat(F.lit("[§:"), text.short_hash(F.col("line"), F.col("salt")), F.lit("]")).alias("marker"))
+    return salted.select("line", _marker(F.col("line"), F.col("salt")).alias("marker"), "salt")
 
 
 def mask(files: DataFrame) -> DataFrame:
-    """path, masked, n_masked, tokens_before, tokens_after: maskable lines by their markers where that saves tokens."""
+    """path, masked, n_masked, tokens_before, tokens_after: maskable lines by their markers where that saves tokens.
+
+    A marker is a function of its line; only the rare lines with a salt, whose short hashes clash, are looked up.
+    """
     lines = maskable_lines(files)
-    joined = lines.join(registry(lines), "line", "left")
-    saves = F.col("marker").isNotNull() & F.col("maskable") & (text.count_tokens(F.col("marker")) < text.count_tokens(F.col("line")))
+    clashes = registry(lines).where("salt > 0").select("line", "salt")
+    may = lookup(lines.where("maskable"), clashes, "line", ["path", "line_no"]).withColumn("marker", _marker(F.col("line"), F.coalesce("salt", F.lit(0)))).drop("salt")
+    joined = may.unionByName(lines.where("not coalesce(maskable, false)").withColumn("marker", F.lit(None).cast("string")))
+    saves = F.col("marker").isNotNull() & (text.count_tokens(F.col("marker")) < text.count_tokens(F.col("line")))
     out = joined.select("path", "line_no", F.when(saves, F.col("marker")).otherwise(F.col("line")).alias("out"), saves.alias("hit"), text.count_tokens(F.col("line")).alias("before"), F.when(saves, text.count_tokens(F.col("marker"))).otherwise(text.count_tokens(F.col("line"))).alias("after"))
     parts = F.array_sort(F.collect_list(F.struct("line_no", "out")))
     return out.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["out"]), "\n").alias("masked"), F.sum(F.col("hit").cast("long")).alias("n_masked"), F.sum("before").alias("tokens_before"), F.sum("after").alias("tokens_after"))
@@ -46,32 +58,42 @@ def pattern_registry(mined: DataFrame) -> DataFrame:
     return rows.where(text.count_tokens(F.col("marker")) < text.count_tokens(F.col("line")))
 
 
+def _space(i: int, c: str):
+    return F.regexp_extract(c, r"^(\s*).*?(\s*)$", i)
+
+
 def mask_patterns(files: DataFrame, known: DataFrame) -> DataFrame:
-    """path, masked, n_masked: lines of C files that a pattern makes up as its marker; white space around them stays."""
+    """path, masked, n_masked: lines of C files that a pattern makes up as its marker; white space around them stays.
+
+    Only directives are looked up.
+    """
     lines = file_lines(files.where(language_of(F.col("path")) == "c")).withColumn("key", text.strip(F.col("line")))
-    joined = lines.join(known.select(F.col("line").alias("key"), "marker"), "key", "left")
-    space = lambda i: F.regexp_extract("line", r"^(\s*).*?(\s*)$", i)
-    out = joined.select("path", "line_no", "marker", F.when(F.col("marker").isNotNull(), F.concat(space(1), "marker", space(2))).otherwise(F.col("line")).alias("out"))
+    directive = F.col("key").startswith("#")
+    found = lookup(lines.where(directive), known.select(F.col("line").alias("key"), "marker"), "key", ["path", "line_no"])
+    joined = found.unionByName(lines.where(~directive).withColumn("marker", F.lit(None).cast("string")))
+    out = joined.select("path", "line_no", "marker", F.when(F.col("marker").isNotNull(), F.concat(_space(1, "line"), "marker", _space(2, "line"))).otherwise(F.col("line")).alias("out"))
     parts = F.array_sort(F.collect_list(F.struct("line_no", "out")))
     return out.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["out"]), "\n").alias("masked"), F.count("marker").alias("n_masked"))
 
 
-def unmask_patterns(masked: DataFrame, known: DataFrame) -> DataFrame:
-    """path, restored: the markers of mask_patterns by their lines."""
+def _restored(masked: DataFrame, known: DataFrame, may) -> DataFrame:
+    """path, restored: lines that are markers (``may`` tells which can be) by what they stand for; unknown ones stay."""
     lines = masked.select("path", F.posexplode(F.split("masked", "\n")).alias("i", "out")).withColumn("marker", text.strip(F.col("out")))
-    back = lines.join(known, "marker", "left")
-    space = lambda i: F.regexp_extract("out", r"^(\s*).*?(\s*)$", i)
-    line = F.when(F.col("line").isNotNull(), F.concat(space(1), "line", space(2))).otherwise(F.col("out"))
+    found = lookup(lines.where(may), known.select("marker", "line"), "marker", ["path", "i"])
+    back = found.unionByName(lines.where(~may).withColumn("line", F.lit(None).cast("string")))
+    line = F.when(F.col("line").isNotNull(), F.concat(_space(1, "out"), "line", _space(2, "out"))).otherwise(F.col("out"))
     parts = F.array_sort(F.collect_list(F.struct("i", line.alias("x"))))
     return back.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["x"]), "\n").alias("restored"))
 
 
+def unmask_patterns(masked: DataFrame, known: DataFrame) -> DataFrame:
+    """path, restored: the markers of mask_patterns by their lines."""
+    return _restored(masked, known, F.col("marker").rlike("^§[0-9a-f]{8}$"))
+
+
 def unmask(masked: DataFrame, known: DataFrame) -> DataFrame:
     """path, restored: markers by the lines they stand for; unknown markers stay."""
-    lines = masked.select("path", F.posexplode(F.split("masked", "\n")).alias("i", "out"))
-    back = lines.join(known.withColumnRenamed("marker", "out"), "out", "left")
-    parts = F.array_sort(F.collect_list(F.struct("i", F.coalesce("line", "out").alias("x"))))
-    return back.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["x"]), "\n").alias("restored"))
+    return _restored(masked, known, F.col("marker").rlike(f"^{MARKER}$"))
 
 
 def round_trip(files: DataFrame) -> DataFrame:

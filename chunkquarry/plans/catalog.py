@@ -120,9 +120,8 @@ def char_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """Bits per character of every document that has any."""
     ch = table(spark, sf, "documents").where("length(text) > 0").select("doc_id", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
     n = ch.groupBy("doc_id", "c").agg(F.count("*").alias("n"))
-    total = n.groupBy("doc_id").agg(F.sum("n").alias("total"))
-    p = F.col("n") / F.col("total")
-    return n.join(total, "doc_id").groupBy("doc_id").agg(F.round(F.sum(-p * F.log2(p)), 6).alias("entropy"))
+    sums = n.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return sums.select("doc_id", F.round(F.abs(F.log2("t") - F.col("s") / F.col("t")), 6).alias("entropy"))
 
 
 @query(f"with {_CHUNKS}, {_SCORED} select chunk_no, round(pi, 6) as pi from scored")
@@ -234,8 +233,7 @@ _HASHED = f"{_FILES}, {_LINE}, h as (select path, line_no, sha256(rtrim(line)) a
 @query(f"with {_HASHED}, {_CACHE} select path, count(*) as lines, count(compressed) as hits, bool_or(compressed is not null) as any_hit from h left join cache using (hash) group by 1")
 def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of every file and how many of them the pattern cache holds."""
-    lines = corpus.cached_lines(_files(spark, sf), corpus.hash_cache(table(spark, sf, "patterns")))
-    return lines.groupBy("path").agg(F.count("*").alias("lines"), F.count("compressed").alias("hits"), F.bool_or(F.col("compressed").isNotNull()).alias("any_hit"))
+    return corpus.cache_hits(_files(spark, sf), corpus.hash_cache(table(spark, sf, "patterns")))
 
 
 @query(f"with {_HASHED}, {_CACHE} select hash, count(distinct path) as n_files from h anti join cache using (hash) group by 1")
@@ -272,7 +270,7 @@ def mask_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pattern_markers(spark: SparkSession, sf: str) -> DataFrame:
-    return masking.pattern_registry(corpus.mined_tokens(corpus.mine_patterns(_files(spark, sf))))
+    return masking.pattern_registry(corpus.tokens_of(corpus.mine_patterns(_files(spark, sf))))
 
 
 _PATTERN_LINES = rf"""{_MINED_SQL}, {_LINE},
@@ -782,8 +780,8 @@ select time_bucket(interval 1 hour, ts) as begins, event_type, count(*) as n, su
 from events where ts is not null group by 1, 2""")
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Messages per channel and hour by a streaming window aggregation."""
-    out = channels.drain(channels.windowed_counts(channels.channel(spark, sf, "events")), spark, "windows", "complete")
-    return out.select(F.col("w.start").cast("timestamp_ntz").alias("begins"), "event_type", "n", "cents")
+    out = channels.drain(channels.windowed_counts(channels.channel(spark, sf, "events")), spark, "windows", "update")
+    return channels.current(out, "w", "event_type").select(F.col("w.start").cast("timestamp_ntz").alias("begins"), "event_type", "n", "cents")
 
 
 @query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHARED_DIR = "spark.checkpoint.dir"
@@ -65,6 +66,33 @@ def buckets_for(df: DataFrame, per_partition: int = 4, least: int = 48) -> int:
     return max(least, spread, per_partition * df.rdd.getNumPartitions())
 
 
+def lookup(rows: DataFrame, known: DataFrame, key: str, spread: list[str], salts: int = 16) -> DataFrame:
+    """``rows`` with the other columns of ``known`` (each key once), null where there is none.
+
+    A key that a third of all rows hold stays in no single task: rows are salted by the columns ``spread`` and ``known`` is
+    repeated for each salt. Rows without a key are spread the same way and meet nothing.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    salted = salted.withColumn("_key", F.when(F.col(key).isNotNull(), F.col(key).cast("string"))).withColumn("_none", F.when(F.col(key).isNull(), F.xxhash64(*spread)).otherwise(0))
+    others = [c for c in known.columns if c != key]
+    repeated = known.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_key"), F.lit(0).cast("bigint").alias("_none"), *others).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, ["_key", "_salt", "_none"], "left").drop("_key", "_salt", "_none")
+
+
+def numbered(df: DataFrame, group: str, *order: Column, name: str = "place") -> DataFrame:
+    """The place of each row in its group, from 1, in an order without ties; no group is sorted in one task.
+
+    Rows are range-partitioned in that order; a place is the place within the partition and the rows before it.
+    """
+    parts = checkpointed(df.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    before = counts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    within = parts.withColumn("_place", F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)))
+    joined = within.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn(name, (F.col("_before") + F.col("_place")).cast("int")).drop("_part", "_place", "_group", "_of", "_before")
+
+
 def extension(path: Column) -> Column:
     """The lower-cased extension of a path without its dot; empty if there is none."""
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))

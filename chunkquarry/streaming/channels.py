@@ -12,6 +12,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import exists, is_folder, shared_dir
 
@@ -31,17 +32,30 @@ def channel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """The result of a streaming query over all there is, read back from where it was written."""
+    """The result of a streaming query over all there is, read back from where it was written.
+
+    In mode "update" every batch's rows are kept with its number, batch_no: the newest row of a key stands (see ``current``).
+    """
     at = work_dir(spark, name)
     out = os.path.join(at, "out")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", os.path.join(at, "progress")).trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
+    elif mode == "update":
+        writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(os.path.join(out, f"batch_no={i}"))).start().awaitTermination()
+        kept = T.StructType([*stream.schema.fields, T.StructField("batch_no", T.IntegerType())])
+        return spark.read.schema(kept).parquet(out) if exists(spark, out) else spark.createDataFrame([], kept)
     else:  # the last complete result stands; a repeated batch overwrites its own
         writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out) if exists(spark, out) else spark.createDataFrame([], stream.schema)
 
 
+def current(updates: DataFrame, *key: str) -> DataFrame:
+    """The newest row of each key of what a stream in update mode wrote."""
+    rest = [c for c in updates.columns if c not in (*key, "batch_no")]
+    return updates.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_no").alias("_r")).select(*key, "_r.*")
+
+
 def windowed_counts(events: DataFrame, minutes: int = 60, late: str = "7 days") -> DataFrame:
     """Events and their value per type and window; rows later than ``late`` are dropped by the watermark."""
     timed = events.where("ts is not null").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
