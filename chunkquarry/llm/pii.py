@@ -302,7 +302,7 @@ _CUES = ("mr", "ms", "dr.", "prof.", "herr", "frau", "monsieur", "madame", "mme"
 def _lower_names(text: str, low: str, given: frozenset[str]) -> Iterator[re.Match]:
     """Names in small letters: with a listed given name, or after a title or a line of credit."""
     for at in sorted(_places(low, _CUES)):
-        while at and (low[at - 1].isalnum() or low[at - 1] in "-_"):  # "-by:" is the end of a word
+        while at and (low[at - 1].isalnum() or low[at - 1] == "_"):  # "-by:" ends a word
             at -= 1
         at -= at > 0 and low[at - 1] == "@"
         if (m := _CREDITED.match(text, at)) and (name := _LOWER.match(text, m.end())):
