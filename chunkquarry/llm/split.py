@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What parts words, here and in the plan alike: all white space of Unicode.
-BLANK = r" \t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = re.compile(f"[^{BLANK}]+")
+WORD = re.compile(r"\S+")
+#: Every character that parts words.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: From coarse to fine: where a part may begin.
 SEPARATORS = (
     ("section", re.compile(r"\n[^\S\n]*\n(?=\S)")),
@@ -123,6 +123,6 @@ def split_oversized(items: DataFrame, limit: int, overlap: int, unit: str = "wor
         raise ValueError("the overlap has to be less than the limit")
     least = 2 * limit + 1 if unit == "word" else limit + 1  # fewer characters can't hold more than limit words
     large = items.select("rec", "text").where(F.col("rec").isNotNull() & (F.length("text") >= least))
-    if unit == "word":
-        large = large.where(F.size(F.regexp_extract_all("text", F.lit(f"[^{BLANK}]+"), F.lit(0))) > limit)
+    if unit == "word":  # more than limit words have at least limit blanks between them
+        large = large.where(F.length("text") - F.length(F.translate("text", BLANKS, "")) >= limit)
     return large.dropDuplicates(["rec"]).mapInArrow(_split(limit, overlap, unit), "rec long, piece_no int, start int, end int, size int, boundary string, widest_line int, piece string")

@@ -142,6 +142,10 @@ def test_pieces_by_characters(seed):
     assert [b for *_, b in paragraphs] == ["start", "section", "section"]
 
 
+def test_blanks_are_all_white_space():
+    assert set(split.BLANKS) == {chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and not split.WORD.match(chr(i))}
+
+
 def test_split_frame(spark):
     rows = [(6, "a\u3000" * 400), (7, "a\u00a0b\u2003" * 200), (1, "a " * 400), (1, "a " * 400), (2, "a " * 300), (3, None), (4, ""), (5, "x\n" + "b " * 301), (None, "a " * 900)]
     df = spark.createDataFrame([(*r, 3) for r in rows], "rec long, text string, piece_no int")
