@@ -43,7 +43,7 @@ C_COMMON = (
     "strcmp strcpy"
 ).split()
 
-# Phrases of answers that a gate rejects.
+# Phrases of answers that this project's gate takes for refusals.
 REJECTED = ("i cannot", "i'm unable", "i don't have access", "as an ai")
 
 # Patterns mined from C files by type.
@@ -77,3 +77,16 @@ FIELD_WEIGHTS = {"name": 5.0, "summary": 3.0, "signature": 2.0, "callees": 2.0,
 SYMBOL_BOOST = 4.0
 LARGE_FUNCTION_LINES = 100
 RRF_CONSTANT = 60
+
+# A function's head.
+SIGNATURE = r"(?m)^(?:\w+\s+)*\*?\w+\s*\([^)]*\)"
+
+# The bounds of verdicts on a composite score, and of those on tokens saved (percent) with consistency.
+VERDICTS = (("EXCELLENT", 0.95), ("ACCEPTABLE", 0.85), ("DEGRADED", 0.70))
+SAVED_HIGH, SAVED_GOOD, CONSISTENT, VERY_CONSISTENT = 80, 70, 0.85, 0.90
+
+# What runs are compared with.
+BASELINE = {"ter": 0.793, "ccc": 0.650, "tv": 0.516, "tv_time": 0.258}
+
+# Tags of messages by category.
+TAXONOMY = {"action": ("compress", "route", "zip_history"), "judgement": ("classify",), "trouble": ("error", "escalate"), "zone": ("foreground", "background")}

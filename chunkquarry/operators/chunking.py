@@ -19,8 +19,8 @@ from .corpus import distinct_files
 _SKIP = re.compile(r"""//[^\n]*|/\*.*?\*/|`[^`]*`|r(#*)".*?"\1|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\[^\n]{1,10}?)'""", re.S)
 _HEADS = {
     "c": re.compile(r"^(?P<type>struct|union|enum)\s+(?P<t>\w+)\s*\{|^(?:[A-Za-z_][\w \t*]*?[ \t*])(?P<name>[A-Za-z_]\w*)[ \t]*\((?P<args>[^;{}]*)\)\s*\{", re.M),
-    "go": re.compile(r"^func\s*(?:\(\s*\w*\s*\*?\s*(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*\([^\n]*\{|^type\s+(?P<t>\w+)\s+(?P<type>struct|interface)\s*\{", re.M),
-    "rust": re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const)\s+)*fn\s+(?P<name>\w+)[^;{}]*\{|^(?:pub(?:\([^)]*\))?\s+)?(?P<type>struct|enum)\s+(?P<t>\w+)[^;{}()]*\{|^impl(?:<[^>]*>)?\s+(?:[\w:<>']+\s+for\s+)?(?P<impl>\w+)[^;{}]*\{", re.M),
+    "go": re.compile(r"^func\s*(?:\(\s*\w*\s*\*?\s*(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*\([^\n]*\{|^type\s+(?P<t>\w+)\s+(?P<type>struct|interface)\s*\{|^type\s+(?P<alias>\w+)\s+(?!struct\b|interface\b)[^\n{]+$", re.M),
+    "rust": re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const)\s+)*fn\s+(?P<name>\w+)[^;{}]*\{|^(?:pub(?:\([^)]*\))?\s+)?(?P<type>struct|enum|trait)\s+(?P<t>\w+)[^;{}()]*\{|^impl(?:<[^>]*>)?\s+(?:[\w:<>']+\s+for\s+)?(?P<impl>\w+)[^;{}]*\{", re.M),
 }
 _NOT_FUNCTIONS = frozenset("if while for switch return else do sizeof".split())
 
@@ -46,10 +46,13 @@ def brace_chunks(language: str, text: str) -> list[tuple[str, str, int, int, str
     line = lambda i: code.count("\n", 0, i) + 1
     out, impls = [], []
     for m in _HEADS[language].finditer(code):
+        g = m.groupdict()
+        if g.get("alias"):
+            out.append(("type", g["alias"], line(m.start()), line(m.end() - 1), None))
+            continue
         end = _close(code, code.index("{", m.end() - 1))
         if end is None:
             continue
-        g = m.groupdict()
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
         if g.get("impl"):
             impls.append((m.start(), end, g["impl"]))

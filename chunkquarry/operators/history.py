@@ -90,3 +90,29 @@ def slice_depth(decisions: DataFrame) -> DataFrame:
         above = level.select(F.col("slice_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
         level = checkpointed(level.join(above, "up", "left").select("slice_id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
     return level.select("slice_id", F.when(F.col("up").isNull(), F.col("depth")).cast("int").alias("depth"))
+
+
+def substitute(words, keys):
+    """Whole words of a text by their short keys (a map column); what stands between words stays."""
+    parts = text.matches(words, r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+")
+    return F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(keys, w), w)), "")
+
+
+def zipped(said: DataFrame, budget: int = 38) -> DataFrame:
+    """conv_id, zipped, tokens_before, tokens_after, ratio: kept turns with recurring long words by their short keys, cut to a number of words."""
+    keys = facts(said).groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "short_key")))).alias("keys"))  # at most ten
+    parts = F.array_sort(F.collect_list(F.struct("turn_id", F.concat_ws(": ", "role", "content").alias("x"), pruned().alias("drop"))))
+    per = said.groupBy("conv_id").agg(parts.alias("p")).join(keys, "conv_id", "left")
+    whole = F.array_join(F.transform("p", lambda t: t["x"]), " ")
+    kept = F.array_join(F.transform(F.filter("p", lambda t: ~t["drop"]), lambda t: t["x"]), " ")
+    short = F.when(F.col("keys").isNull(), kept).otherwise(substitute(kept, F.col("keys")))
+    words = text.matches(F.col("short"), r"\S+")
+    cut = F.when(F.size(words) > budget, F.concat(F.array_join(F.slice(words, 1, budget), " "), F.lit(" [...]"))).otherwise(F.col("short"))
+    out = per.select("conv_id", text.count_tokens(whole).alias("tokens_before"), short.alias("short")).select("conv_id", "tokens_before", cut.alias("zipped"))
+    sized = out.withColumn("tokens_after", text.count_tokens(F.col("zipped")))
+    return sized.withColumn("ratio", F.round(F.col("tokens_after") / F.greatest("tokens_before", F.lit(1)), 4))
+
+
+def of_agent(decisions: DataFrame, agent: str) -> DataFrame:
+    """The decisions of one agent."""
+    return distinct_decisions(decisions).where(F.col("agent_id") == agent)

@@ -102,3 +102,35 @@ def round_trip(files: DataFrame) -> DataFrame:
     back = unmask(mask(files), known)
     whole = distinct_files(files).select("path", F.regexp_replace("content", "\r\n", "\n").alias("content"))
     return back.join(whole, "path").select("path", (F.col("restored") == F.col("content")).alias("same"))
+
+
+def identifier_keys(mined: DataFrame, most: int = 60, tokens: bool = True) -> dict[str, str]:
+    """The longest ``most`` mined identifiers (pattern_type, pattern, token) whose token is shorter, by tokens or by characters."""
+    names = mined.where("pattern_type = 'identifier'")
+    size = text.count_tokens if tokens else F.length
+    saving = names.where(size(F.col("token")) < size(F.col("pattern")))
+    return {r.pattern: r.token for r in saving.orderBy(F.desc(F.length("pattern")), "pattern").limit(most).select("pattern", "token").collect()}
+
+
+def mask_identifiers(files: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """path, masked, n_masked: whole identifiers of C files by their tokens."""
+    c = distinct_files(files.where(language_of(F.col("path")) == "c")).where("content is not null")
+    if not keys:
+        return c.select("path", F.col("content").alias("masked"), F.lit(0).alias("n_masked"))
+    known = F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])
+    parts = text.matches(F.col("content"), r"[a-zA-Z0-9_]+|[^a-zA-Z0-9_]+")
+    return c.select("path", F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(known, w), w)), "").alias("masked"), F.size(F.filter(parts, lambda w: F.map_contains_key(known, w))).alias("n_masked"))
+
+
+#: A marker of either form.
+ANY_MARKER = r"\[§:(?:[A-Z]+_)?[0-9a-f]{8}\]|§[0-9a-f]{8}"
+
+
+def unmask_texts(texts: DataFrame, known: DataFrame, key: str = "key") -> DataFrame:
+    """key, restored: markers of either form anywhere in a text (key, text) by their originals (marker, original); unknown ones stay."""
+    parts = texts.where("text is not null").select(key, F.posexplode(text.matches(F.col("text"), rf"(?s){ANY_MARKER}|(?:(?!{ANY_MARKER}).)+")).alias("i", "part"))
+    marker = F.col("part").rlike(f"^(?:{ANY_MARKER})$")
+    found = lookup(parts.where(marker).withColumnRenamed("part", "marker"), known, "marker", [key, "i"]).select(key, "i", F.coalesce("original", "marker").alias("part"))
+    merged = found.unionByName(parts.where(~marker))
+    back = F.array_sort(F.collect_list(F.struct("i", "part")))
+    return merged.groupBy(key).agg(F.array_join(F.transform(back, lambda x: x["part"]), "").alias("restored"))

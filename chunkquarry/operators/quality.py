@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text
+from ..functions import lexicon, text
 
 
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -98,3 +98,39 @@ def rouge_l(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """key, rouge_l of two texts over their terms in order."""
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     return rows.select(key, _lcs(text.terms(F.col(a)), text.terms(F.col(b))).alias("rouge_l"))
+
+
+def verdict(score):
+    """The band of a composite score."""
+    out = F.lit("FAILURE")
+    for name, least in reversed(lexicon.VERDICTS):
+        out = F.when(score >= least, name).otherwise(out)
+    return F.when(score.isNotNull(), out)
+
+
+def combined_verdict(saved, consistency):
+    """The band of tokens saved, in percent, together with consistency."""
+    high, good, ok = saved >= lexicon.SAVED_HIGH, saved >= lexicon.SAVED_GOOD, consistency >= lexicon.CONSISTENT
+    ladder = F.when(high & (consistency >= lexicon.VERY_CONSISTENT), "EXCELLENT").when(high & ok, "PASSED").when(good & ok, "GOOD").when(high, "CONSISTENCY RISK").when(~good & ok, "LOW COMPRESSION").otherwise("BELOW TARGETS")
+    return F.when(saved.isNotNull() & consistency.isNotNull(), ladder)
+
+
+def confidence(pairs: DataFrame, answer: str) -> DataFrame:
+    """task_id, confidence: the term cosine of question and answer."""
+    return cosine(distinct_pairs(pairs), "task_id", "question", answer).select("task_id", F.round("cosine", 4).alias("confidence"))
+
+
+def gated_mean(pairs: DataFrame, least: int = 20) -> DataFrame:
+    """Mean composite score of the pairs with enough words on both sides, how many these are, and how many were dropped."""
+    rows = distinct_pairs(pairs).where("response_full is not null and response_bridge is not null")
+    long = rows.select("task_id", ((text.count_words(F.col("response_full")) >= least) & (text.count_words(F.col("response_bridge")) >= least)).alias("long"))
+    both = long.join(scores(pairs).select("task_id", "composite"), "task_id")
+    return both.agg(F.count_if("long").alias("kept"), F.count_if(~F.col("long")).alias("dropped"), F.round(F.avg(F.when(F.col("long"), F.col("composite"))), 4).alias("mean_score"))
+
+
+def routed_score(texts: DataFrame, key: str, original: str, compressed: str, interface: str | None = None) -> DataFrame:
+    """key, score of a text against its compressed form: term cosine, or where ``interface`` names the column of its interface
+    the longest common subsequence of that and the compressed form."""
+    if interface is None:
+        return cosine(texts, key, original, compressed).withColumnRenamed("cosine", "score")
+    return rouge_l(texts, key, interface, compressed).withColumnRenamed("rouge_l", "score")

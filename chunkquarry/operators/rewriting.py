@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
 from ..sources.tables import language_of
+from . import masking, quality, zones
 from .chunking import _blank, _close, _HEADS, _NOT_FUNCTIONS
-from .corpus import distinct_files
+from .corpus import distinct_chunks, distinct_files, mine_patterns, tokens_of
 
 _STOP = frozenset(lexicon.STOP_WORDS)
 _PY = re.compile(lexicon.PY_COMPLEX), re.compile(lexicon.PY_SIMPLE)
@@ -175,3 +176,105 @@ def token_rollup(stages: DataFrame) -> DataFrame:
     """Per language the sums of all stages and the ratio of sums."""
     sums = stages.groupBy("language").agg(F.count("*").alias("files"), *(F.sum(c).alias(c) for c in ("tokens_before", "after_skeleton", "after_comments", "bodies_dropped")))
     return sums.withColumn("saved_percent", F.when(F.col("tokens_before") > 0, 100.0 * (F.col("tokens_before") - F.col("after_comments")) / F.col("tokens_before")).otherwise(0.0))
+
+
+def _squeezed(texts: DataFrame) -> DataFrame:
+    """path, language, n_masked, skeleton_tokens, masked_tokens, compressed of rows with masked in its place."""
+    columns = [f for f in texts.schema.fields if f.name != "masked"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(squeeze_python if lang == "python" else squeeze_braces)(t) for lang, t in zip(b.language, b.masked)]
+            yield b.drop(columns="masked").assign(compressed=out)
+
+    return texts.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns) + ", compressed string")
+
+
+def _masked(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """path, masked, n_masked of texts (path, language, content): Python by boilerplate lines, C by patterns, others as they are."""
+    files = texts.select("path", "content")
+    python, c = masking.mask(files).select("path", "masked", "n_masked"), masking.mask_patterns(files, known)
+    rest = texts.where("language not in ('python', 'c')").select("path", F.col("content").alias("masked"), F.lit(0).cast("long").alias("n_masked"))
+    return python.unionByName(c).unionByName(rest)
+
+
+def pipeline(files: DataFrame, changed: DataFrame | None = None, threshold: float = 0.70) -> DataFrame:
+    """path, language, n_masked, compressed and the tokens before, after_skeleton, after_masking, after_comments, saved_percent.
+
+    Every file goes through all three steps: bodies dropped but for changed ones, lines masked, comments squeezed. The
+    patterns that mask C are mined from the files themselves.
+    """
+    known = masking.pattern_registry(tokens_of(mine_patterns(files)))
+    cut = rewrite(files, changed, threshold).select("path", "language", F.col("skeleton").alias("content"))
+    done = _squeezed(cut.select("path", "language", text.count_tokens(F.col("content")).alias("after_skeleton")).join(_masked(cut, known), "path").withColumn("after_masking", text.count_tokens(F.col("masked"))))
+    whole = distinct_files(files).select("path", text.count_tokens(F.col("content")).alias("tokens_before"))
+    sized = done.withColumn("after_comments", text.count_tokens(F.col("compressed"))).join(whole, "path")
+    return sized.withColumn("saved_percent", F.when(F.col("tokens_before") > 0, 100.0 * (F.col("tokens_before") - F.col("after_comments")) / F.col("tokens_before")).otherwise(0.0))
+
+
+def variants(files: DataFrame, threshold: float = 0.70) -> DataFrame:
+    """path, variant, tokens, saved_percent, score: what six combinations of the steps make of each C file.
+
+    The score is the term cosine with the file itself, 1 for an equal text.
+    """
+    known = masking.pattern_registry(tokens_of(mine_patterns(files)))
+    cut = rewrite(files, None, threshold).where("language = 'c'").select("path", "language", F.col("skeleton").alias("content"))
+    plain = distinct_files(files).where((language_of(F.col("path")) == "c") & F.col("content").isNotNull()).select("path", F.lit("c").alias("language"), "content")
+    squeezed = lambda t, c: _squeezed(t.select("path", "language", F.col(c).alias("masked"))).select("path", F.col("compressed").alias("text"))
+    whole = plain.select("path", F.regexp_replace("content", "\r\n", "\n").alias("text"))
+    both = masking.mask_patterns(cut, known).select("path", F.col("masked").alias("text"))
+    made = {
+        "none": whole, "comments": squeezed(plain, "content"), "masking": masking.mask_patterns(plain, known).select("path", F.col("masked").alias("text")),
+        "skeleton": cut.select("path", F.col("content").alias("text")), "skeleton+masking": both, "all": squeezed(both.withColumn("language", F.lit("c")), "text"),
+    }
+    rows = None
+    for name, df in made.items():
+        df = df.select("path", F.lit(name).alias("variant"), "text")
+        rows = df if rows is None else rows.unionByName(df)
+    paired = rows.join(whole.withColumnRenamed("text", "original"), "path").withColumn("key", F.concat_ws("|", "variant", "path"))
+    scored = quality.cosine(paired, "key", "original", "text")
+    sized = paired.select("key", "path", "variant", text.count_tokens(F.col("text")).alias("tokens"), text.count_tokens(F.col("original")).alias("before"), (F.col("text") == F.col("original")).alias("same"))
+    saved = F.when(F.col("before") > 0, F.round(100.0 * (F.col("before") - F.col("tokens")) / F.col("before"), 1)).otherwise(0.0)
+    return sized.join(scored, "key").select("path", "variant", "tokens", saved.alias("saved_percent"), F.when(F.col("same"), 1.0).otherwise(F.round("cosine", 3)).alias("score"))
+
+
+def dispatch(chunks: DataFrame, changed: DataFrame, files: DataFrame, threshold: float = 0.70) -> DataFrame:
+    """chunk_no, language, zone, original_tokens, final_tokens, score of each chunk with source.
+
+    Foreground chunks of Python and C go through all steps, background ones of Python only have comments squeezed, those of
+    C are masked as well; other languages have comments squeezed. Long words of comments give way to short ones in all.
+    A blank chunk stays as it is, with score 1. A chunk is a text of its own: its lines are not those of a compressed file.
+    """
+    known = masking.pattern_registry(tokens_of(mine_patterns(files)))
+    zone = zones.classify(chunks, changed).select(F.col("chunk_no").cast("string").alias("path"), "zone")
+    source = F.regexp_replace("source", "\r\n", "\n")
+    rows = distinct_chunks(chunks.where("source is not null"), F.coalesce(language_of(F.col("file_path")), F.lit("other")).alias("language"), source.alias("content")).select(F.col("chunk_no").cast("string").alias("path"), "language", "content")
+    rows = rows.join(zone, "path")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            whole = []
+            for language, text_, front in zip(b.language, b.content, b.zone):
+                skeleton = front == "FOREGROUND" and language in ("python", "c") and text_.strip()
+                whole.append((skeleton_python(text_, frozenset(), threshold) if language == "python" else skeleton_braces(language, text_, frozenset(), threshold))[0] if skeleton else text_)
+            yield b.assign(cut=whole)
+
+    done = rows.mapInPandas(cut, "path string, language string, content string, zone string, cut string")
+    name = F.when(F.col("language") == "python", F.concat("path", F.lit(".py"))).when(F.col("language") == "c", F.concat("path", F.lit(".c"))).otherwise(F.col("path"))
+    texts = done.select(name.alias("path"), "language", "zone", "content", F.col("cut"))
+    may = texts.where("language = 'c' or (language = 'python' and zone = 'FOREGROUND')").select("path", "language", F.col("cut").alias("content"))
+    masked = _masked(may, known).select("path", "masked")
+    joined = texts.join(masked, "path", "left").select("path", "language", "zone", "content", F.coalesce("masked", "cut").alias("masked"))
+    squeezed = _squeezed(joined)
+    lines = F.transform(F.split("compressed", "\n"), lambda x: F.when(x.rlike(r"""^\s*(#|"|')"""), text.swap_synonyms(x)).otherwise(x))
+    final = squeezed.withColumn("compressed", F.when(F.col("content").rlike(r"\S"), F.array_join(lines, "\n")).otherwise(F.col("content")))
+    score = quality.cosine(final, "path", "content", "compressed")
+    sized = final.select("path", "language", "zone", text.count_tokens(F.col("content")).alias("original_tokens"), text.count_tokens(F.col("compressed")).alias("final_tokens"), (~F.col("content").rlike(r"\S")).alias("blank"))
+    return sized.join(score, "path").select(F.regexp_replace("path", r"\..*", "").cast("long").alias("chunk_no"), "language", "zone", "original_tokens", "final_tokens", F.when(F.col("blank"), 1.0).otherwise(F.round("cosine", 6)).alias("score"))
+
+
+def dispatch_rollup(done: DataFrame) -> DataFrame:
+    """By zone: chunks, tokens, the share saved (ratio of sums), the mean score (1 without chunks) and the product of both."""
+    sums = done.groupBy("zone").agg(F.count("*").alias("chunks"), F.sum("original_tokens").alias("original_tokens"), F.sum("final_tokens").alias("final_tokens"), F.coalesce(F.round(F.avg("score"), 6), F.lit(1.0)).alias("mean_score"))
+    saved = F.when(F.col("original_tokens") > 0, F.round(100.0 * (1 - F.col("final_tokens") / F.col("original_tokens")), 1)).otherwise(0.0)
+    return sums.withColumn("saved_percent", saved).withColumn("value", F.round(F.col("saved_percent") / 100 * F.col("mean_score"), 6))

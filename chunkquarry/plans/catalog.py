@@ -669,14 +669,6 @@ def slice_depth(spark: SparkSession, sf: str) -> DataFrame:
     return history.slice_depth(table(spark, sf, "decisions"))
 
 
-@query("""
-with e as (select event_type, count(*) as total, count(*) filter (event_id % 1000 >= 500) as waiting from events group by 1)
-select event_type, total, waiting from e""")
-def channel_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages of each channel, and those past the cursor (the second half of every thousand)."""
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("event_id") % 1000 >= 500).alias("waiting"))
-
-
 @query("""
 with a as (select task_id, regexp_extract_all(coalesce(max(question), ''), '[a-z]+_[a-z_]+') as asked, regexp_extract_all(coalesce(max(response_full), ''), '[a-z]+_[a-z_]+') as said from response_pairs where task_id is not null group by 1)
 select task_id, len(list_distinct(asked))::int as asked, len(list_distinct(said))::int as said, len(list_intersect(asked, said))::int as both, len(list_distinct(list_concat(asked, said)))::int as either,
@@ -790,3 +782,6 @@ from events where user_id is not null and event_id is not null group by 1""")
 def stream_user_state(spark: SparkSession, sf: str) -> DataFrame:
     """The state kept for each user by a stateful streaming query."""
     return channels.newest(channels.drain(channels.user_state(channels.channel(spark, sf, "events")), spark, "state"))
+
+
+from . import index, runs  # noqa: E402, F401  they register their queries here

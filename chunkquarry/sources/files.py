@@ -25,6 +25,24 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 
+def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key: later lines of a file overwrite earlier ones."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+
+
+def read_json_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of files that hold one JSON array or object each; files that are no JSON give none."""
+    kept = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = spark.read.schema(kept).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+
+
+def with_setting(log: DataFrame, part: str) -> DataFrame:
+    """Runs whose settings (env, a map) have a name that holds ``part``, in any case."""
+    return log.where(F.exists(F.map_keys("env"), lambda k: F.lower(k).contains(part.lower())))
+
+
 def append_log(rows: DataFrame, path: str, date: Column) -> None:
     """Append rows to a log in one folder per day."""
     rows.withColumn("date", F.date_format(date, "yyyy-MM-dd")).write.mode("append").partitionBy("date").json(path)

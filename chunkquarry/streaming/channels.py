@@ -11,6 +11,7 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +99,38 @@ def user_state(events: DataFrame) -> DataFrame:
 def newest(states: DataFrame) -> DataFrame:
     """The last state of each user."""
     return states.groupBy("user_id").agg(F.max_by(F.struct("n", "first_id", "last_id", "last_type"), "n").alias("s")).select("user_id", "s.*")
+
+
+def cursors(messages: DataFrame, channel: str, until) -> DataFrame:
+    """channel, cursor: how many messages of each channel a consumer that has read them ``until`` (a condition) is past."""
+    return messages.where(until).groupBy(F.col(channel).alias("channel")).agg(F.count("*").alias("cursor"))
+
+
+def queue_stats(messages: DataFrame, channel: str, channels: DataFrame, read: DataFrame) -> DataFrame:
+    """channel, total, unread of every listed channel (channel), those without messages or cursor too."""
+    total = messages.groupBy(F.col(channel).alias("channel")).agg(F.count("*").alias("total"))
+    joined = channels.select("channel").distinct().join(total, "channel", "left").join(read, "channel", "left").fillna(0, ["total", "cursor"])
+    return joined.select("channel", "total", F.greatest(F.lit(0), F.col("total") - F.col("cursor")).alias("unread"))
+
+
+def peek(messages: DataFrame, channel: str, order: str, n: int = 5) -> DataFrame:
+    """The last n messages of each channel, which stay unread."""
+    place = F.row_number().over(W.partitionBy(channel).orderBy(F.desc(order)))
+    return messages.withColumn("back", place).where(F.col("back") <= n)
+
+
+def step(messages: DataFrame, ok, error) -> tuple[DataFrame, DataFrame]:
+    """(messages that a step takes, messages it fails on with what was wrong as error): none is lost, none stops the others."""
+    good = F.coalesce(ok, F.lit(False))
+    return messages.where(good), messages.where(~good).withColumn("error", error)
+
+
+def taxonomy(spark: SparkSession, tags: dict[str, tuple[str, ...]]) -> DataFrame:
+    """category, tag."""
+    return spark.createDataFrame([(c, t) for c, ts in tags.items() for t in ts], "category string, tag string")
+
+
+def unknown_tags(tags, known: dict[str, tuple[str, ...]]):
+    """The tags of an array that no category holds; an empty taxonomy knows them all."""
+    valid = [t for ts in known.values() for t in ts]
+    return F.array_except(tags, F.array(*map(F.lit, valid))) if valid else F.array().cast("array<string>")
