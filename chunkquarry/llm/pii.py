@@ -68,7 +68,7 @@ _SMALL = re.compile(r"(?<![\w@.\-/#'’`])[a-zà-öø-þ][\w'’]+(?:-\w+)?")
 
 #: What any candidate of a kind holds. Patterns are tried only where it stands.
 _HINTS = {
-    "email": re.compile(r"@|[\[({<]\s?(?i:at|arroba|chez|ät)\s?[\])}>]|\s(?:at|AT)\s"),
+    "email": re.compile(r"@|[\[({<]\s?(?i:at|arroba|chez|ät)\s?[\])}>]|\s(?:at|AT)\s(?=\S+\s?(?:[\[({]\s?dot|dot\b|DOT\b))"),
     "id_number": re.compile(r"\d(?:[ \-]?\d){5}|[A-Z]\d{2}[A-Z0-9]{5}"),
     "phone": re.compile(r"\d[\d()./ \-]{5,}\d"),
 }
@@ -415,6 +415,7 @@ def vote_features(kind: str, votes) -> list[int]:
 def classify(labelled: DataFrame, sample_rows: int = 20_000) -> tuple[DataFrame, dict]:
     """The spans with the classifier's probability p, and the reliability of each kind's labelers."""
     spark = labelled.sparkSession
+    labelled = checkpointed(labelled)  # read three times below
     patterns = labelled.groupBy("kind", *VOTES).agg(F.count("*").alias("n")).toPandas().sort_values(["kind", *VOTES])  # at most 5 * 3**6 rows
     rows, learned = [], {}
     for kind, g in patterns.groupby("kind"):
