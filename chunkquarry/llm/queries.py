@@ -62,13 +62,17 @@ select term, case when n = 1 then 'rare' else 'common' end as mark
 from freq where n = 1 or n > 0.02 * (select count(*) from recs)"""
 
 
+def _all_kinds(recs: DataFrame) -> DataFrame:
+    """A row of each record's kind and one of kind 'all'."""
+    return recs.select(F.explode(F.array("kind", F.lit("all"))).alias("kind"))
+
+
 @query
 def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences and records of every term, overall (kind 'all') and by pattern type, marked within each."""
     recs = terms.records(table(spark, sf, "patterns"))
-    overall = recs.withColumn("kind", F.lit("all"))
-    both = recs.unionByName(overall)
-    return terms.marked(terms.term_frequencies(both, per_kind=True), both, keys=("kind",)).select("kind", "term", "occurrences", "records", "mark")
+    freq = terms.with_all(terms.term_frequencies(recs, per_kind=True), "term")
+    return terms.marked(freq, _all_kinds(recs), keys=("kind",)).select("kind", "term", "occurrences", "records", "mark")
 
 
 ORACLES["p3_terms"] = f"""
@@ -99,8 +103,7 @@ from recs group by 1, 2"""
 def p3_value_totals(spark: SparkSession, sf: str) -> DataFrame:
     """The same overall (kind 'all') as well as by type, marked within each as terms are."""
     recs = terms.records(table(spark, sf, "patterns"))
-    both = recs.unionByName(recs.withColumn("kind", F.lit("all")))
-    out = terms.marked(terms.value_frequencies(both), both, keys=("kind",))
+    out = terms.marked(terms.with_all(terms.value_frequencies(recs), "value"), _all_kinds(recs), keys=("kind",))
     return out.select("kind", "value", "occurrences", "records", "recorded_least", "recorded_most", "mark")
 
 

@@ -29,12 +29,21 @@ def records(patterns: DataFrame) -> DataFrame:
     return first.select(F.col("pattern_no").alias("rec"), F.coalesce("r.kind", F.lit("unknown")).alias("kind"), F.col("r.original").alias("text"), F.col("r.frequency").alias("recorded"))
 
 
-def _bitmap(postings: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, occurrences, records: from one row per posting (rec, n)."""
+def _bitmap(postings: DataFrame, keys: list[str], claims: bool = False) -> DataFrame:
+    """keys, occurrences, records: from one row per posting (rec, n); with ``claims`` the least and most of recorded too."""
+    least = [F.min("recorded_least").alias("recorded_least"), F.max("recorded_most").alias("recorded_most")] if claims else []
     words = postings.groupBy(*keys, F.shiftright("rec", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, int(rec & 63))")).alias("bits"), F.sum("n").alias("n")
+        F.bit_or(F.expr("shiftleft(1L, int(rec & 63))")).alias("bits"), F.sum("n").alias("n"), *([F.min("recorded").alias("recorded_least"), F.max("recorded").alias("recorded_most")] if claims else [])
     )
-    return words.groupBy(*keys).agg(F.sum("n").alias("occurrences"), F.sum(F.bit_count("bits")).alias("records"))
+    return words.groupBy(*keys).agg(F.sum("n").alias("occurrences"), F.sum(F.bit_count("bits")).alias("records"), *least)
+
+
+def with_all(freq: DataFrame, *key: str) -> DataFrame:
+    """Frequencies by kind, and of all kinds together as kind 'all'. A record has one kind, so the union's cardinality is the sum."""
+    others = [c for c in ("recorded_least", "recorded_most") if c in freq.columns]
+    both = freq.withColumn("kind", F.explode(F.array("kind", F.lit("all"))))
+    aggs = [F.min(others[0]).alias(others[0]), F.max(others[1]).alias(others[1])] if others else []
+    return both.groupBy("kind", *key).agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"), *aggs)
 
 
 def term_postings(recs: DataFrame) -> DataFrame:
@@ -50,10 +59,8 @@ def term_frequencies(recs: DataFrame, per_kind: bool = False) -> DataFrame:
 
 def value_frequencies(recs: DataFrame) -> DataFrame:
     """Of every distinct text and kind: in how many records it stands, and the frequencies those records claim."""
-    once = recs.select("kind", F.col("text").alias("value"), "rec", F.lit(1).cast("long").alias("n"))
-    counts = _bitmap(once, ["kind", "value"])
-    claims = recs.groupBy("kind", F.col("text").alias("value")).agg(F.min("recorded").alias("recorded_least"), F.max("recorded").alias("recorded_most"))
-    return counts.join(claims, ["kind", "value"])
+    once = recs.select("kind", F.col("text").alias("value"), "rec", F.lit(1).cast("long").alias("n"), "recorded")
+    return _bitmap(once, ["kind", "value"], claims=True)
 
 
 def marked(freq: DataFrame, recs: DataFrame, common_share: float = 0.02, keys: tuple[str, ...] = ()) -> DataFrame:
