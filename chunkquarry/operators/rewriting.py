@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
-from ..sources.tables import language_of
+from ..sources.tables import checkpointed, language_of
 from . import masking, quality, zones
 from .chunking import _blank, _close, _HEADS, _NOT_FUNCTIONS
 from .corpus import distinct_chunks, distinct_files, mine_patterns, tokens_of
@@ -217,8 +217,8 @@ def variants(files: DataFrame, threshold: float = 0.70) -> DataFrame:
 
     The score is the term cosine with the file itself, 1 for an equal text.
     """
-    known = masking.pattern_registry(tokens_of(mine_patterns(files)))
-    cut = rewrite(files, None, threshold).where("language = 'c'").select("path", "language", F.col("skeleton").alias("content"))
+    known = checkpointed(masking.pattern_registry(tokens_of(mine_patterns(files))))
+    cut = checkpointed(rewrite(files.where(language_of(F.col("path")) == "c"), None, threshold).select("path", "language", F.col("skeleton").alias("content")))
     plain = distinct_files(files).where((language_of(F.col("path")) == "c") & F.col("content").isNotNull()).select("path", F.lit("c").alias("language"), "content")
     squeezed = lambda t, c: _squeezed(t.select("path", "language", F.col(c).alias("masked"))).select("path", F.col("compressed").alias("text"))
     whole = plain.select("path", F.regexp_replace("content", "\r\n", "\n").alias("text"))
@@ -231,6 +231,7 @@ def variants(files: DataFrame, threshold: float = 0.70) -> DataFrame:
     for name, df in made.items():
         df = df.select("path", F.lit(name).alias("variant"), "text")
         rows = df if rows is None else rows.unionByName(df)
+    rows = checkpointed(rows)  # every variant made once
     paired = rows.join(whole.withColumnRenamed("text", "original"), "path").withColumn("key", F.concat_ws("|", "variant", "path"))
     scored = quality.cosine(paired, "key", "original", "text")
     sized = paired.select("key", "path", "variant", text.count_tokens(F.col("text")).alias("tokens"), text.count_tokens(F.col("original")).alias("before"), (F.col("text") == F.col("original")).alias("same"))
@@ -259,7 +260,7 @@ def dispatch(chunks: DataFrame, changed: DataFrame, files: DataFrame, threshold:
                 whole.append((skeleton_python(text_, frozenset(), threshold) if language == "python" else skeleton_braces(language, text_, frozenset(), threshold))[0] if skeleton else text_)
             yield b.assign(cut=whole)
 
-    done = rows.mapInPandas(cut, "path string, language string, content string, zone string, cut string")
+    done = checkpointed(rows.mapInPandas(cut, "path string, language string, content string, zone string, cut string"))  # read three times below
     name = F.when(F.col("language") == "python", F.concat("path", F.lit(".py"))).when(F.col("language") == "c", F.concat("path", F.lit(".c"))).otherwise(F.col("path"))
     texts = done.select(name.alias("path"), "language", "zone", "content", F.col("cut"))
     may = texts.where("language = 'c' or (language = 'python' and zone = 'FOREGROUND')").select("path", "language", F.col("cut").alias("content"))
@@ -268,6 +269,7 @@ def dispatch(chunks: DataFrame, changed: DataFrame, files: DataFrame, threshold:
     squeezed = _squeezed(joined)
     lines = F.transform(F.split("compressed", "\n"), lambda x: F.when(x.rlike(r"""^\s*(#|"|')"""), text.swap_synonyms(x)).otherwise(x))
     final = squeezed.withColumn("compressed", F.when(F.col("content").rlike(r"\S"), F.array_join(lines, "\n")).otherwise(F.col("content")))
+    final = checkpointed(final)  # read twice below
     score = quality.cosine(final, "path", "content", "compressed")
     sized = final.select("path", "language", "zone", text.count_tokens(F.col("content")).alias("original_tokens"), text.count_tokens(F.col("compressed")).alias("final_tokens"), (~F.col("content").rlike(r"\S")).alias("blank"))
     return sized.join(score, "path").select(F.regexp_replace("path", r"\..*", "").cast("long").alias("chunk_no"), "language", "zone", "original_tokens", "final_tokens", F.when(F.col("blank"), 1.0).otherwise(F.round("cosine", 6)).alias("score"))
