@@ -87,6 +87,12 @@ def descended_setting(spark: SparkSession, sf: str) -> DataFrame:
 # ---- what is written and read back
 
 
+@query("select path from (select distinct path from source_files where path is not null) order by sha256(path || '|42'), path limit 50")
+def sampled_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Fifty files by a seeded hash."""
+    return sources.sample_files(table(spark, sf, "source_files"), 50)
+
+
 @query("select hash, max_by(compressed, (coalesce(mined_at, timestamp '1970-01-01'), pattern_no)) as compressed from patterns where hash is not null and compressed is not null group by 1")
 def cache_file(spark: SparkSession, sf: str) -> DataFrame:
     """The pattern cache as JSON lines between lines that are none, read back with later lines in place of earlier ones."""

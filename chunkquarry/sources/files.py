@@ -12,7 +12,8 @@ from .tables import language_of
 
 def scan_repository(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("py", "c", "h", "cc", "cpp", "go", "rs")) -> DataFrame:
     """path, language, content of all files below a folder; hidden folders and caches are left out, bad bytes replaced."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    cased = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in extensions]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(cased)}}}").load(root)  # other files are not opened
     inside = F.regexp_replace("path", r"^\w+:/*", "/")
     named = raw.select(inside.alias("path"), F.col("content")).where(F.lower("path").rlike(rf"\.({'|'.join(extensions)})$") & ~F.col("path").rlike(r"/(\.[^/]+|__pycache__)/"))
     return named.select("path", language_of(F.col("path")).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
@@ -62,5 +63,6 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFr
 
 
 def sample_files(files: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n files by the hash of path and seed: the same on every run."""
-    return files.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(n)
+    """n files by the hash of path and seed: the same on every run. Files are taken by path first, so no content is sorted."""
+    paths = files.where("path is not null").select("path").distinct()
+    return paths.orderBy(F.sha2(F.concat("path", F.lit(f"|{seed}")), 256), "path").limit(n)
