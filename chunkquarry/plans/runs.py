@@ -13,7 +13,7 @@ from ..operators import corpus, experiments, history, zones
 from ..sources import files as sources
 from ..sources.tables import table
 from ..streaming import channels
-from .catalog import _CHUNKS, _DECISIONS, _GRID, _tokens, _words, _chunks, query
+from .catalog import _CHUNKS, _DECISIONS, _GRID, _SCORED, _tokens, _words, _chunks, query
 
 # ---- logs and leaderboards; a run is a user's events
 
@@ -216,15 +216,28 @@ def replayed_channels(spark: SparkSession, sf: str) -> DataFrame:
 # ---- diffs
 
 
-@query(r"""
-with f as (select path, max(content) as content from source_files where path is not null group by path), n as (select path, len(string_split(content, chr(10))) as n from f where length(content) > 0),
-h as (select path, 1 as a, 1 as c from n union all select path, n // 2 + 1, 3 from n union all select path, n, 0 from n)
-select distinct path as file_path, unnest(range(a, a + c))::int as line from h""")
+_DIFFED = """f as (select path, max(content) as content from source_files where path is not null group by path), sized as (select path, len(string_split(content, chr(10))) as n from f where length(content) > 0),
+h as (select path, 1 as a, 1 as c from sized union all select path, n // 2 + 1, 3 from sized union all select path, n, 0 from sized),
+changed as (select distinct path as file_path, unnest(range(a, a + c))::int as line from h)"""
+
+
+@query(f"with {_DIFFED} select file_path, line from changed")
 def diff_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Changed lines read out of unified diffs of every file: one line, three lines, and a deletion."""
     return zones.diff_hunks(_diffs(spark, sf))
 
 
+@query(f"""
+with {_CHUNKS}, {_SCORED}, {_DIFFED},
+near as (select chunk_no, any_value(pi) as pi, min(abs(start_line - line)) as distance from scored s left join changed c on s.file_path = c.file_path group by 1),
+zoned as (select chunk_no, pi, coalesce(exp(-0.1 * distance), 0.0) as hzs from near)
+select chunk_no, round(hzs, 6) as hzs, case when hzs > 0.10 or pi < 0.70 then 'FOREGROUND' else 'BACKGROUND' end as zone from zoned""")
+def diff_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """Foreground and background of all chunks by their distance to the changed lines of diffs."""
+    z = zones.classify(_chunks(spark, sf), zones.diff_hunks(_diffs(spark, sf)))
+    return z.select("chunk_no", F.round("hzs", 6).alias("hzs"), "zone")
+
+
 def _diffs(spark: SparkSession, sf: str) -> DataFrame:
     """file_path, diff: a diff without context of every file, with one line changed at its begin, three in its middle, and one deleted."""
     f = corpus.distinct_files(table(spark, sf, "source_files")).where("length(content) > 0").select("path", F.size(F.split("content", "\n")).alias("n"))
