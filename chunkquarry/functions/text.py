@@ -128,6 +128,11 @@ def swap_synonyms(line: Column) -> Column:
     return line
 
 
+def swapped_words(line: Column) -> Column:
+    """The long words of a line that swap_synonyms would take, in their order."""
+    return F.array_compact(F.array(*[F.when(line.rlike(rf"(?i)\b{w}\b"), F.lit(w)) for w in sorted(lexicon.SYNONYMS)]))
+
+
 def short_hash(text: Column, salt: Column) -> Column:
     """The first 8 hex digits of the hash of a text and a salt."""
     return F.substring(F.sha2(F.concat(text, F.lit("|"), salt.cast("string")), 256), 1, 8)

@@ -69,3 +69,25 @@ def summary_candidates(meta: DataFrame, most: int = 50) -> DataFrame:
     """The first functions that are not simple and have no summary."""
     open_ = meta.where(F.col("complexity").isin("complex", "moderate") & (F.length(F.trim(F.coalesce("summary", F.lit("")))) == 0))
     return open_.select("file_path", "chunk_id", "name", "complexity").distinct().orderBy("file_path", "chunk_id", "name", "complexity").limit(most)
+
+
+def payloads(chunks: DataFrame) -> DataFrame:
+    """chunk_no, point, payload: a chunk's number in an index and what is kept with it, as JSON; its text is not."""
+    fields = ("chunk_id", "file_path", "name", "chunk_type", "start_line", "end_line", "parent_name")
+    return distinct_chunks(chunks, text.point_id(F.col("chunk_id")).alias("point"), F.to_json(F.struct(*fields)).alias("payload"))
+
+
+def load_stats(chunks: DataFrame, cache: DataFrame) -> DataFrame:
+    """Files, chunks with source, those whose text the cache (hash) holds, those left to embed, and all tokens."""
+    rows = distinct_chunks(chunks.where("source is not null"), "file_path", F.sha2(F.rtrim("source"), 256).alias("hash"), text.count_tokens(F.col("source")).alias("tokens"))
+    per = rows.groupBy("hash").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))  # copies are one hash before they meet the cache
+    held = per.join(cache.select("hash", F.lit(True).alias("held")).distinct(), "hash", "left")
+    sums = held.agg(F.sum("n").alias("chunks"), F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("cached"), F.sum("tokens").alias("tokens"))
+    files = rows.select("file_path").distinct().agg(F.count("file_path").alias("files"))
+    return files.join(sums, F.lit(True)).select("files", "chunks", "cached", (F.col("chunks") - F.col("cached")).alias("to_embed"), "tokens")
+
+
+def selected(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows with selected: whether any selected record has their name (rows of one name are all selected)."""
+    chosen = names.where("name is not null").select("name").distinct().withColumn("selected", F.lit(True))
+    return rows.join(chosen, "name", "left").fillna(False, ["selected"])

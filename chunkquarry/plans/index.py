@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
 from ..operators import chunking, corpus, history, masking, metadata, quality, ranking, rewriting
-from ..sources.tables import table
+from ..sources.tables import language_of, table
 from ..streaming.channels import work_dir
-from .catalog import _ASKED, _BUILTINS, _CHUNKS, _COSINE, _FIELDS, _KEYWORD, _LINE, _FILES, _MINED_SQL, _PAIRS, _QUESTIONS, _REC_TERMS, _SCORES, _TURNS, _best, _changed, _chunks, _field_records, _files, _lines, _questions, _records, _strip, _tokens, _words, query
+from .catalog import _ASKED, _BUILTINS, _CACHE, _CHUNKS, _COSINE, _FIELDS, _KEYWORD, _LANG, _LINE, _FILES, _MINED_SQL, _PAIRS, _QUESTIONS, _REC_TERMS, _SCORES, _TURNS, _best, _changed, _chunks, _field_records, _files, _lines, _questions, _records, _strip, _tokens, _words, query
 
 _SIGNATURE = lexicon.SIGNATURE.replace("'", "''")
 _HEADS = f"regexp_extract(substr(source, 1, 300), '{_SIGNATURE}')"
@@ -80,6 +80,42 @@ def summary_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return metadata.summary_candidates(table(spark, sf, "fn_meta"))
 
 
+@query(f"""
+with {_CHUNKS} select chunk_no, ('0x' || substr(md5(chunk_id), 1, 8))::bigint as point,
+  '{{' || array_to_string(list_filter(['"chunk_id":' || to_json(chunk_id), '"file_path":' || to_json(file_path), '"name":' || to_json(name), '"chunk_type":' || to_json(chunk_type), '"start_line":' || start_line, '"end_line":' || end_line, '"parent_name":' || to_json(parent_name)], lambda x: x is not null), ',') || '}}' as payload from chunk""")
+def chunk_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """What is kept of every chunk beside its vector."""
+    return metadata.payloads(_chunks(spark, sf))
+
+
+@query(f"""
+with {_CHUNKS}, {_CACHE}, s as (select file_path, sha256(rtrim(source)) as hash, {_tokens('source')} as tokens from chunk where source is not null)
+select count(distinct file_path) as files, count(*) as chunks, count(compressed) as cached, count(*) - count(compressed) as to_embed, sum(tokens)::bigint as tokens from s left join cache using (hash)""")
+def load_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Files and chunks of a load, and how many of them the cache spares."""
+    return metadata.load_stats(_chunks(spark, sf), corpus.hash_cache(table(spark, sf, "patterns")))
+
+
+@query(f"with {_CHUNKS}, {_QUESTIONS}, {_ASKED}, {_REC_TERMS}, {_KEYWORD}, top as ({_best('kw', 5)}), named as (select distinct name from chunk join top on chunk_no = rec where name is not null) select chunk_no, coalesce(name in (select name from named), false) as selected from chunk where {_LANG.format('file_path')} = 'c'")
+def selected_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of C files, marked where a chunk of their name is among the best of any question."""
+    top = ranking.best(ranking.keyword_scores(_questions(spark, sf), _records(spark, sf)), 5).select(F.col("rec").alias("chunk_no")).distinct()
+    rows = corpus.distinct_chunks(_chunks(spark, sf), "file_path", "name")
+    return metadata.selected(rows.where(language_of(F.col("file_path")) == "c"), rows.join(top, "chunk_no", "left_semi")).select("chunk_no", "selected")
+
+
+_LONG = ", ".join(f"'{w}'" for w in sorted(lexicon.SYNONYMS))
+
+
+@query(rf"""
+with {_FILES}, {_LINE}, c as (select path, line_no, line from line where lower(path) like '%.py' and regexp_matches(line, '^\s*(#|"|'')'))
+select path, line_no, words from (select path, line_no, array_to_string(list_filter([{_LONG}], lambda w: regexp_matches(line, '(?i)\b' || w || '\b')), ' ') as words from c) where words <> ''""")
+def synonym_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The long words of comment and docstring lines that give way to short ones."""
+    lines = corpus.file_lines(_files(spark, sf).where(F.lower("path").endswith(".py"))).where(F.col("line").rlike(r"""^\s*(#|"|')"""))
+    return lines.select("path", "line_no", F.array_join(text.swapped_words(F.col("line")), " ").alias("words")).where("words <> ''")
+
+
 # ---- rankings with vectors and filters; vectors belong to the chunks and questions of their number
 
 _DENSE = """e as (select vec_id, embedding::double[] as v from embeddings),
