@@ -369,6 +369,8 @@ def _stretches(period: int, cover: np.ndarray, width: int, min_len: int, anchor_
         replies = [(table.column("bucket")[i].as_py(), _from_planes(data[i].as_py())) for i, k in enumerate(kinds) if k == "shared"]
         bucket = np.repeat(np.array([b for b, _ in replies], dtype=np.int64), [len(x) for _, x in replies])
         short = np.concatenate([np.zeros(0, np.uint32), *(x for _, x in replies)])
+        if "text" not in kinds:  # links would be lost
+            raise RuntimeError("records came in another order when they were read again: shared_spans needs records of a scan or a written table")
         out = [x for i, k in enumerate(kinds) if k == "text" for x in one(data[i].as_py(), bucket, short)]
         return pa.Table.from_batches(out or [_rows(_STRETCH, [])])
 
@@ -460,8 +462,8 @@ def shared_spans(records: DataFrame, min_len: int = 200, order: int = 11) -> Dat
 
     ``records``: rec bigint, grp bigint, text string; other columns are ignored. Records of one group do not count
     as others for each other; a repeated row is in its own group and so finds nothing in itself. Result: rec,
-    starts and lengths of the covered stretches (overlapping or touching ones merged). A task that runs again has to get
-    its rows in the same order: records should come from a scan. ``order`` is the prime order of the difference cover; its
+    starts and lengths of the covered stretches (overlapping or touching ones merged). They are read twice, and
+    have to come in the same order each time, as those of a scan or a written table do; otherwise the job fails. ``order`` is the prime order of the difference cover; its
     period has to be shorter than ``min_len``.
     """
     period, cover = difference_set(order)

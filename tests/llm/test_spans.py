@@ -109,3 +109,11 @@ def test_batches_and_turns_of_any_size_give_the_same(spark, monkeypatch):
         for r in rows:
             covered[r["rec"]].update(range(r["a"], r["b"]))
         assert {k: len(v) for k, v in covered.items()} == want
+
+
+def test_replies_without_their_batch_fail(spark):
+    import pyarrow as pa
+
+    orphan = pa.table({"bucket": pa.array([1], pa.int32()), "batch": pa.array([5], pa.int64()), "kind": ["shared"], "data": pa.array([spans._planes(np.array([7], dtype=np.uint32))], pa.binary())})
+    with pytest.raises(RuntimeError):
+        spans._stretches(13, np.array([0, 1, 3, 9]), 8, 20, 7, 5)(orphan)
