@@ -113,8 +113,12 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
         yield last
 
 
+_RUN = re.compile(r"[\w.%+\-]+")
+
+
 def _emails(text: str) -> Iterator[re.Match]:
-    """Matches around each sign or word for at; a domain has at most 253 characters, spelled out not more than 600."""
+    """Matches around each sign or word for at: the local part is a run before it, a domain has at most 253 characters, spelled out
+    not more than 600. No part of a text is looked at twice but for domains."""
     done = 0
     for h in _HINTS["email"].finditer(text):
         at = h.start()
@@ -122,12 +126,11 @@ def _emails(text: str) -> Iterator[re.Match]:
             at -= 1
         while at > done and not text[at - 1].isspace():
             at -= 1
-        for m in _EMAIL.finditer(text, at, min(len(text), h.end() + 600)):
-            if m.start() > h.end():
-                break
-            if m.start() >= done:
+        for run in _RUN.finditer(text, at, h.end()):
+            if run.start() >= done and (m := _EMAIL.match(text, run.start(), min(len(text), h.end() + 600))):
                 done = m.end()
                 yield m
+        done = max(done, h.start() + 1)  # a local part holds no sign for at
 
 
 def _matches(kind: str, text: str) -> Iterator[re.Match]:
@@ -184,9 +187,9 @@ def _name_parts(mention: str) -> tuple[str, str, bool]:
 
 def _around(text: str, start: int, end: int) -> tuple[str, str, str]:
     """The line's words before and after a span, and the whole line without it."""
-    a, b = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-    line_end = b if b >= 0 else len(text)
-    low, high = max(a, start - 80), min(line_end, end + 80)
+    low, high = max(0, start - 80), min(len(text), end + 80)
+    a, b = text.rfind("\n", low, start) + 1, text.find("\n", end, high)
+    low, high = max(a, low), b if b >= 0 else high
     before = re.sub(r"^\s*(?:[-*]\s+|\d\d:\d\d\s+|(?:user|assistant):\s+)", "", text[low:start])
     return before, text[end:high], before + " " + text[end:high]
 

@@ -462,9 +462,9 @@ def shared_spans(records: DataFrame, min_len: int = 200, order: int = 11) -> Dat
 
     ``records``: rec bigint, grp bigint, text string; other columns are ignored. Records of one group do not count
     as others for each other; a repeated row is in its own group and so finds nothing in itself. Result: rec,
-    starts and lengths of the covered stretches (overlapping or touching ones merged). They are read twice, and
-    have to come in the same order each time, as those of a scan or a written table do; otherwise the job fails. ``order`` is the prime order of the difference cover; its
-    period has to be shorter than ``min_len``.
+    starts and lengths of the covered stretches (overlapping or touching ones merged). Records are read twice, and have to come
+    in the same order each time, as those of a scan or a written table do; otherwise the job fails. ``order`` is the prime order
+    of the difference cover; its period has to be shorter than ``min_len``.
     """
     period, cover = difference_set(order)
     width = min_len - period + 1
