@@ -53,7 +53,7 @@ _TAIL = r"(?:[a-z]| [a-d](?=[,.;:)\n]|$))?\b"
 _GAP = r"(?: |[ \t]?\n[ \t]?)"
 #: Addresses that begin with the number, and those that end with it.
 _NUMBER_FIRST = re.compile(
-    rf"(?<![\w.,:\-])\d{{1,5}}[A-Za-z]?(?:-\d{{1,4}})?{_GAP}(?:[NSEW]\. )?(?:{_CAP}{_GAP}){{1,3}}(?:{_SHORT}|{_EN}\b)|"
+    rf"(?<![\w.,:\-])\d{{1,5}}[A-Za-z]?(?:-\d{{1,4}})?{_GAP}(?:[NSEW]\. )?(?:(?:{_CAP} ){{1,3}}|(?:{_CAP}{_GAP}){{1,3}})(?:{_SHORT}|{_EN}\b)|"
     rf"(?<![\w.,:\-])\d{{1,4}}(?: ?(?:bis|ter|[a-zA-Z]))?,?{_GAP}(?i:rue|avenue|impasse|place|boulevard|bd|allée|chemin|quai|cours|route|square|passage)(?: (?:de la|de l['’]|du|des|de|d['’]))?(?:{_GAP})?{_CAP}(?: {_CAP})*"
 )
 _NUMBER_LAST = re.compile(
@@ -163,7 +163,7 @@ _AGAINST = {
 _EXACT = {
     "email": re.compile(rf"^{_LOCAL}@{_LABEL}(?:\.{_LABEL})+$"),
     "phone": re.compile(r"^(?:\+\d{1,3}[ \-.]?(?:\(0?\d{1,4}\)[ \-.]?)?\d[\d \-.]{5,14}\d|00\d{2}[ \-]?\d[\d \-]{6,13}\d|(?:1[- .])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[-. ])\d{3}[-. ]\d{4}|\(0\d{1,4}\)[ \-/]?\d[\d \-]{4,10}\d|0\d{1,4}[/ \-]\d[\d \-]{4,10}\d)$"),
-    "id_number": re.compile(r"^(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|[A-Z]{2}\d{6}[A-D]|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|\d{8}-?[A-Z]|[A-Z]{2}\d{7}|[A-Z]{2} \d{3} \d{4}|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|[XYZ]-?\d{7}-?[A-Z])$"),
+    "id_number": re.compile(r"^(?:\d{2} \d{3} \d{3} \d{3}|\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|[A-Z]{2}\d{6}[A-D]|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|\d{8}-?[A-Z]|[A-Z]{2}\d{7}|[A-Z]{2} \d{3} \d{4}|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|[XYZ]-?\d{7}-?[A-Z])$"),
     "address": re.compile(r"\d"),
 }
 #: Titles and sentence openers that are no part of a name. Fixed values.
@@ -405,17 +405,19 @@ VOTES = [f"v{i}" for i in range(6)]
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """EM for a two-class model with independent labelers: probability of each vote pattern, reliability of each labeler.
 
-    It begins at the sum of votes; a few made-up observations keep rare votes pointing where they are meant to.
+    It begins at the sum of votes. A few made-up observations, 2 in 1000 for each class, vote as they are meant to or
+    abstain: where nearly all candidates are true ones, no class is made of those that one labeler abstains on.
     """
     p = linear.sigmoid(1.6 * votes.sum(axis=1) - 1.2)
+    half = 0.001 * counts.sum() + 3
     for _ in range(rounds):
         w1, w0 = counts * p, counts * (1 - p)
         share = np.clip((w1.sum() + 1) / (counts.sum() + 2), 0.02, 0.98)
         logit = np.full(len(p), np.log(share / (1 - share)))
         for k in range(votes.shape[1]):
-            for value, start1, start0 in ((-1, 1.0, 3.0), (0, 3.0, 3.0), (1, 3.0, 1.0)):
+            for value, start1, start0 in ((-1, 1.0, half), (0, half, half), (1, half, 1.0)):
                 hit = votes[:, k] == value
-                logit[hit] += np.log((w1[hit].sum() + start1) / (w1.sum() + 7)) - np.log((w0[hit].sum() + start0) / (w0.sum() + 7))
+                logit[hit] += np.log((w1[hit].sum() + start1) / (w1.sum() + 2 * half + 1)) - np.log((w0[hit].sum() + start0) / (w0.sum() + 2 * half + 1))
         p = linear.sigmoid(logit)
     sure = np.array([(counts * np.where(votes[:, k] > 0, p, np.where(votes[:, k] < 0, 1 - p, 0))).sum() / max((counts * (votes[:, k] != 0)).sum(), 1) for k in range(votes.shape[1])])
     return p, sure
