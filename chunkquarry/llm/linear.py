@@ -1,9 +1,9 @@
-"""Logistic regression on hashed features, fitted on the driver from a bounded sample."""
+"""Logistic regression on hashed features, fitted from rows on the driver or from sums over rows that lie elsewhere."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -48,15 +48,64 @@ def fit(rows: list, target: np.ndarray, weight: np.ndarray, dims: int, steps: in
     return w
 
 
-def fit_dense(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
-    """The same for a few dense features, by Newton steps; the first column should be ones."""
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(x.shape[1])
+def loss_part(starts: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Some rows' part of the loss and, after it, of its gradient."""
+    z = np.add.reduceat(w[at], starts)
+    sizes = np.diff(np.append(starts, len(at)))
+    loss = (weight * (np.logaddexp(0, z) - target * z)).sum()
+    return np.concatenate([[loss], np.bincount(at, weights=np.repeat(weight * (sigmoid(z) - target), sizes), minlength=len(w))])
+
+
+def lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], dims: int, ridge: float = 1e-4, steps: int = 30, kept: int = 8, near: float = 3e-5) -> np.ndarray:
+    """The weights of the least loss and ridge; ``value`` gives the loss and its gradient over all rows."""
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, grad = value(w)
+        return loss + ridge / 2 * float(w @ w), grad + ridge * w
+
+    w, past = np.zeros(dims), []
+    loss, grad = at(w)
+    for _ in range(steps):
+        if np.abs(grad).max() < near:
+            break
+        q, scaled = grad.copy(), []
+        for s, y in reversed(past):
+            a = (s @ q) / (s @ y)
+            q -= a * y
+            scaled.append(a)
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(np.linalg.norm(grad), 1e-12)
+        for (s, y), a in zip(past, reversed(scaled)):
+            q += s * (a - (y @ q) / (s @ y))
+        length, slope = 1.0, float(grad @ q)
+        while True:
+            new = w - length * q
+            new_loss, new_grad = at(new)
+            if new_loss <= loss - 1e-4 * length * slope or length < 1e-4:
+                break
+            length /= 2
+        if new_loss >= loss:
+            break
+        if (new - w) @ (new_grad - grad) > 1e-14:
+            past = [*past, (new - w, new_grad - grad)][-kept:]
+        w, loss, grad = new, new_loss, new_grad
+    return w
+
+
+def newton_part(x: np.ndarray, target: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Some rows' part of the curvature of a loss over dense features and, after it, of its descent."""
+    q = sigmoid(x @ w)
+    return np.concatenate([((x * (weight * (q * (1 - q) + 1e-6))[:, None]).T @ x).ravel(), x.T @ (weight * (target - q))])
+
+
+def newton(total: Callable[[np.ndarray], np.ndarray], dims: int, begin: np.ndarray | None = None, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Weights of a few dense features; ``total`` gives the sum of newton_part over all rows; the first feature should be one."""
+    w = np.zeros(dims) if begin is None else begin.copy()
+    penalty = ridge * np.eye(dims)
     penalty[0, 0] = 1e-6
     for _ in range(steps):
-        q = sigmoid(x @ w)
-        step = np.linalg.solve((x * (q * (1 - q) + 1e-6)[:, None]).T @ x + penalty, x.T @ (target - q) - penalty @ w)
+        sums = total(w)
+        step = np.linalg.solve(sums[: dims * dims].reshape(dims, dims) + penalty, sums[dims * dims :] - penalty @ w)
         w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w

@@ -1,6 +1,9 @@
 import dataclasses
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from chunkquarry.llm import replies
@@ -78,3 +81,52 @@ def test_frame(spark, models):
     assert {tuple(r) for r in replies.defects(df, models).collect()} == {("t1", "full", "empty"), ("t2", "bridge", "empty")}
     assert replies.defects(df.limit(0), models).collect() == []
     assert replies.fit(spark.createDataFrame([], "doc_id long, text string, lang string")).language("some text") == (None, 0.0)
+
+
+def _by_definition(texts):
+    """Counts of n-grams before word ends by (n-gram, at a sentence's end), one place and one n-gram at a time."""
+    out = Counter()
+    for text in texts:
+        lines = re.sub(r"\d+", "0", replies.prose(text)).rstrip().split("\n")
+        for i, line in enumerate(lines):
+            line = re.sub(r"^\s*(?:[-*]|0\.|0:0|\w+:)\s+", "", line).strip()
+            for m in re.finditer(r"(?<=[\w§)])(?=[\s.?!,;:]|$)", line):
+                rest, head = line[m.end() :], "^" + line[: m.end()].lower()
+                if rest or i + 1 < len(lines):
+                    out.update((gram, not rest or bool(re.match(r"[.?!](?:\s|$)", rest))) for gram in {head[-n:] for n in replies.ORDERS})
+    return out
+
+
+ODD = ["", "§", "12. a", "a", "a b 12, c\n\nd.", "- x\n* y", "ΣΑΣ. b", "__a a__b _a_b aB aBc9D x_ _x a1_ ^ z\n1. q", "¿Está? ```x\ny``` `n_1`\n"]
+
+
+def test_counts_by_array_are_the_counts_by_definition():
+    plain = [replies.prose(t) for t in ODD + [EN, DE, FR, ES]]
+    codes, n = replies.trigram_counts(plain)
+    assert dict(zip(("".join(map(chr, (c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF))) for c in codes.tolist()), n.tolist())) == Counter(g for t in ODD + [EN, DE, FR, ES] for g in replies.trigrams(t))
+    keys, n, both = replies.end_counts(plain)
+    want = _by_definition(ODD + [EN, DE, FR, ES])
+    assert {(k, bool(i)): int(c[i]) for k, c in zip(keys.tolist(), n) for i in (0, 1) if c[i]} == {(replies.keys_of(g, (len(g),))[0], e): c for (g, e), c in want.items()}
+    assert both[1] == sum(c for (g, e), c in want.items() if e and (len(g) == 2))
+    counts = replies._Counts()
+    assert all(counts._hashed(replies._form(s)) == np.array(replies.linear.hashed(replies._said(s), replies.DIMS), dtype="<u2").tobytes() for t in ODD + [EN, DE] for s in replies.sentences(t))
+
+
+def test_every_document_and_answer_counts(spark):
+    """More texts than any sample of 3,000: each odd word stands in two documents or in two answers."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    docs = [(i, f"The queue of q{word(i // 2)} is read late. The cursor of z{word(i // 2)} is lost.", "en") for i in range(3400)]
+    pairs = [(f"t{i}", f"It is w{word(i // 2)}.", f"Only v{word(i // 2)} reads it. It is late.") for i in range(3400)]
+    m = replies.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(pairs, "task_id string, response_full string, response_bridge string").repartition(3))
+    want = _by_definition([t for _, t, _ in docs] + [t for _, *ts in pairs for t in ts])
+    assert all(m.ends.get(g, (0, 0)) == tuple(n if n > 1 else 0 for n in (want[g, False], want[g, True])) for g, _ in want)
+    grams = Counter(g for _, t, _ in docs for g in replies.trigrams(t))
+    assert set(m.grams["en"]) == {g for g, n in grams.items() if n > 1}
+
+
+def test_blocks_visited_where_they_lie_give_the_same_models(spark, models, monkeypatch):
+    docs = spark.createDataFrame([(i, ". ".join(random.Random(i).sample(EN.rstrip(".").split(". "), 2)) + ".", "en") for i in range(60)] + [(99, "Is it late\n\n- `a_b`\n- I cannot answer this question", "en")], "doc_id long, text string, lang string").repartition(3)
+    here = replies.fit(docs)
+    monkeypatch.setattr(replies, "HERE", -1)
+    spread = replies.fit(docs)
+    assert np.allclose(here.cut_weights, spread.cut_weights, atol=1e-6) and all(np.allclose(w, spread.said_weights[k], atol=1e-6) for k, w in here.said_weights.items())
