@@ -287,7 +287,8 @@ def cuts(text: str, n: int = 2) -> list[str]:
 
 
 _BARE = re.compile(r"[\w)`](?![^\n])")
-_COUNTED = "what string, key long, n long, data binary"
+_COUNTED = "what string, data binary"
+_SUMS = "what string, key long, n long"
 #: An ending: complete (y = 0) or cut (1), whether its place (and it as a whole) is among those counted, keys and shape.
 _ENDING = np.dtype([("y", "u1"), ("own", "u1"), ("own_whole", "u1"), ("keys", "<i8", len(ORDERS) + 1), ("shape", "<f4", 9)])
 #: Distinct entries that a task holds before it passes them on; bytes of blocks up to which the driver visits them itself.
@@ -393,14 +394,19 @@ class _Counts:
 
     def rows(self) -> pd.DataFrame:
         self.count_plain()
-        out = [(what, key, n, None) for (what, key), n in self.sums.items()]
+        by: dict[str, tuple[array, array]] = {}
+        for (what, key), n in self.sums.items():
+            keys, counts = by.setdefault(what, (array("q"), array("q")))
+            keys.append(key)
+            counts.append(n)
+        out = [(what, zlib.compress(keys.tobytes() + counts.tobytes(), 1)) for what, (keys, counts) in by.items()]
         packed = np.array([(y, own, own_whole, _tail_keys(tail, whole), shape) for y, own, own_whole, tail, whole, shape in self.endings], dtype=_ENDING)
         if len(packed):
-            out.append(("endings", 0, 0, zlib.compress(np.array([len(packed)], "<u4").tobytes() + packed.tobytes() + np.array([*self.endings.values()], "<f8").tobytes(), 1)))
+            out.append(("endings", zlib.compress(np.array([len(packed)], "<u4").tobytes() + packed.tobytes() + np.array([*self.endings.values()], "<f8").tobytes(), 1)))
         if self.said:
-            out.append(("said", 0, 0, said_block(self.said)))
+            out.append(("said", said_block(self.said)))
         self.__init__()
-        return pd.DataFrame(out, columns=["what", "key", "n", "data"])
+        return pd.DataFrame(out, columns=["what", "data"])
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -413,6 +419,13 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield counts.rows()
 
 
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for what, data in zip(batch.what, batch.data):
+            keys, counts = np.frombuffer(zlib.decompress(data), dtype="<i8").reshape(2, -1)
+            yield pd.DataFrame({"what": what, "key": keys, "n": counts})
+
+
 def _ending_rows(block: bytes, m: Models, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, y and weight of endings; counted without their own place.
 
@@ -453,15 +466,17 @@ def summed(blocks: DataFrame, also: tuple[bytes, ...] = ()) -> Callable[[Callabl
     return total
 
 
-def _fit_cut(total: Callable, m: Models) -> np.ndarray | None:
+def _fit_cut(blocks: DataFrame, m: Models) -> np.ndarray | None:
     """The regression over endings, by Newton steps; again where it has been seen which unmarked endings look cut."""
+    total = summed(blocks)
+    known = blocks.sparkSession.sparkContext.broadcast(Models(ends=m.ends, base=m.base))  # once for all steps
 
     def sides(block: bytes) -> np.ndarray:
-        _, y, weight = _ending_rows(block, m, None)
+        _, y, weight = _ending_rows(block, known.value, None)
         return np.array([weight[y == 0].sum(), weight[y == 1].sum()])
 
     def part(w: np.ndarray, before: np.ndarray | None) -> Callable[[bytes], np.ndarray]:
-        return lambda block: linear.newton_part(*_ending_rows(block, m, before), w)
+        return lambda block: linear.newton_part(*_ending_rows(block, known.value, before), w)
 
     if np.min(total(sides)) <= 0:
         return None
@@ -510,7 +525,7 @@ def fit(documents: DataFrame, pairs: DataFrame | None = None) -> Models:
         answers = pairs.where("task_id is not null").select(F.explode(F.array("response_full", "response_bridge")).alias("text")).where("length(text) > 0")
         texts = texts.unionByName(answers.withColumn("language", F.lit(None).cast("string")))
     counted = checkpointed(texts.mapInPandas(_count, _COUNTED))  # visited once a step
-    sums = counted.where("data is null").groupBy("what", "key").agg(F.sum("n").alias("n")).where("n >= 2").toArrow().to_pandas()
+    sums = counted.where("what not in ('endings', 'said')").mapInPandas(_unpacked, _SUMS).groupBy("what", "key").agg(F.sum("n").alias("n")).where("n >= 2").toArrow().to_pandas()
     m = Models()
     for what, rows in sums[sums.what.str.startswith("gram ")].groupby("what"):
         decoded = ["".join(map(chr, (c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF))) for c in rows.key.tolist()]
@@ -528,7 +543,7 @@ def fit(documents: DataFrame, pairs: DataFrame | None = None) -> Models:
     m.base = math.log((totals.get("base cut", 0) + 1) / (totals.get("base end", 0) + 1))
     endings = counted.where("what = 'endings'")
     if endings.head(1):
-        m.cut_weights = _fit_cut(summed(endings), m)
+        m.cut_weights = _fit_cut(endings, m)
     m.said_weights = _fit_said(counted.where("what = 'said'"))
     return m
 
